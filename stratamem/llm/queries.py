@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import line_dedup, near_dedup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.query,
+        "op3_quality": quality.query,
+        "op7_line_dedup": line_dedup.query,
     }
 
 
