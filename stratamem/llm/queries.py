@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, quality
+from . import line_dedup, mixing, near_dedup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": near_dedup.query,
         "op3_quality": quality.query,
         "op7_line_dedup": line_dedup.query,
+        "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_mixing": mixing.SQL,
+    }
