@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup, quality
+from . import bpe, line_dedup, mixing, near_dedup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.query,
         "op3_quality": quality.query,
+        "op5_bpe": bpe.query,
         "op7_line_dedup": line_dedup.query,
         "op10_mixing": mixing.query,
     }
