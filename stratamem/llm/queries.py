@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, near_dedup, quality
+from . import bpe, line_dedup, mixing, near_dedup, quality, token_blocks, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.query,
+        "op2_token_blocks": token_blocks.query,
         "op3_quality": quality.query,
+        "op4_token_counts": token_counts.query,
         "op5_bpe": bpe.query,
         "op7_line_dedup": line_dedup.query,
         "op10_mixing": mixing.query,
