@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, near_dedup, quality, token_blocks, token_counts
+from . import bpe, knn, line_dedup, mixing, near_dedup, quality, token_blocks, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.query,
         "op4_token_counts": token_counts.query,
         "op5_bpe": bpe.query,
+        "op6_knn_join": knn.query,
         "op7_line_dedup": line_dedup.query,
         "op10_mixing": mixing.query,
     }
@@ -23,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_knn_join": knn.SQL,
         "op10_mixing": mixing.SQL,
     }
