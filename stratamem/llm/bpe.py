@@ -45,7 +45,7 @@ from .common import arrow_safe, fresh, read
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded stretches of text, and pieces, that a worker keeps; the tables start anew when they're full.
-KEPT = 400_000
+KEPT = 150_000
 
 
 def load(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -120,7 +120,7 @@ class Bpe:
         key = left << 32 | right
         known = self.compatible.get(key)
         if known is None:
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) > 250_000:
                 self.compatible.clear()
             known = self.compatible[key] = self._fits(left, right)
         return known
