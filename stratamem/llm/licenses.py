@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,7 +65,8 @@ def rules() -> tuple[Rule, ...]:
 def stems() -> tuple[str, ...]:
     """A few single words of which every keyword holds one, chosen greedily; words, as a line break may part a keyword's words."""
     keywords = {k for r in rules() for k in r.keywords}
-    words = sorted({w for k in keywords for w in k.split() if len(w) > 2})
+    long = {k: [w for w in k.split() if len(w) > 2] for k in keywords}
+    words = sorted({w for k, ws in long.items() for w in ws or k.split()})
     left, chosen = set(keywords), []
     while left:
         covers = {w: {k for k in left if any(w in part for part in k.split())} for w in words}
@@ -98,14 +100,19 @@ def _automaton() -> ahocorasick.Automaton:
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """What is left of overlapping (start, end, rule) matches, by start."""
+    # none of the kept contains another, so by start they're also in the order of their ends
+    starts: list[int] = []
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in sorted(found, key=lambda m: (-m[2].priority, m[0] - m[1], m[0], m[2].number)):
-        for s, e, r in kept:
-            if (s <= start and end <= e) or (start <= s and e <= end and r.priority > rule.priority):
-                break
-        else:
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda m: (m[0], m[1], m[2].number))
+        at = bisect_right(starts, start)
+        if at and kept[at - 1][1] >= end:
+            continue
+        at = bisect_left(starts, start)
+        if at < len(kept) and kept[at][1] <= end:
+            continue
+        starts.insert(at, start)
+        kept.insert(at, (start, end, rule))
+    return kept
 
 
 def _matches(text: str, rule: Rule) -> list[tuple[int, int, Rule]]:
