@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, knn, licenses, line_dedup, mixing, near_dedup, quality, token_blocks, token_counts
+from . import bpe, knn, licenses, line_dedup, media, mixing, near_dedup, quality, token_blocks, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_knn_join": knn.query,
         "op7_line_dedup": line_dedup.query,
         "op8_licenses": licenses.query,
+        "op9_media": media.query,
         "op10_mixing": mixing.query,
     }
 
