@@ -68,7 +68,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def arrow_safe(spark: SparkSession) -> None:
-    """Arrow batches bounded in bytes as well as rows, so that long texts don't pile up in a worker."""
+def arrow_safe(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Arrow batches bounded in bytes as well as rows, so that long texts don't pile up in a worker. A batch is held by the JVM, outside its heap, and by the worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

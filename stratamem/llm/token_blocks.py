@@ -310,7 +310,7 @@ _FIELDS = [T.StructField("block", T.IntegerType()), T.StructField("n_tokens", T.
 
 def encode_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, block, n_tokens, crc32, payload): the blocks of every document, numbered from 0."""
-    arrow_safe(docs.sparkSession)
+    arrow_safe(docs.sparkSession, 32 << 20)  # the more blocks a batch has, the fewer operations each needs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretches = library(vocabulary)
