@@ -210,7 +210,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None
     """
     rid, keep, by = (fresh(docs, c) for c in ("rid", "keep", "found_in"))
     gone = cut(deletions(docs, min_words)).select(F.col("rid").alias(rid), F.col("keep").alias(keep), F.col("found_in").alias(by))
-    joined = keyed_join(docs.withColumn(rid, F.xxhash64("doc_id", "text")), gone, rid, "left")
+    # a row is as wide as its document has lines, so the size is checked in bytes
+    size = gone.agg(F.sum(F.size(keep) + 16 * F.size(by) + 48)).first()[0] or 0
+    joined = keyed_join(docs.withColumn(rid, F.xxhash64("doc_id", "text")), gone, rid, "left", -(-size // 48))
     text = F.when(F.col(keep).isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: F.get(F.col(keep), i)), "\n"))
     new = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
