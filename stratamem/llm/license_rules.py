@@ -38,7 +38,7 @@ ISC | name | isc | \bisc licen[sc]e\b
 0BSD | text | permission to use | permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee is hereby granted\. the software
 BSD-2-Clause | name | bsd | \b(?:2|two)[- ]clause bsd(?: licen[sc]e)?\b
 BSD-2-Clause | name | bsd | \bbsd[- ](?:2|two)[- ]clause\b(?: licen[sc]e)?
-BSD-2-Clause | name | bsd | \b(?:simplified|freebsd) (?:bsd )?licen[sc]e\b
+BSD-2-Clause | name | bsd,simplified licen | \b(?:simplified|freebsd) (?:bsd )?licen[sc]e\b
 BSD-2-Clause | text | redistributions | redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
 BSD-3-Clause | name | bsd | \b(?:3|three)[- ]clause bsd(?: licen[sc]e)?\b
 BSD-3-Clause | name | bsd | \bbsd[- ](?:3|three)[- ]clause\b(?: licen[sc]e)?
@@ -60,7 +60,7 @@ GPL-3.0-only | name | gpl | \bgpl[- ]?(?:v\.?)?3(?:\.0)?[- ]only\b
 GPL-3.0-only | notice | general public licen | general public licen[sc]e,? ?(?:version|v\.?) ?3(?:\.0)? only\b
 GPL-3.0-or-later | name | gpl | \bgpl[- ]?(?:v\.?)?3(?:\.0)?(?:\+|[- ]or[- ]later)
 GPL-3.0-or-later | notice | either version 3 | general public licen[sc]e as published by the free software foundation[,;] either version 3 of the licen[sc]e,? or \(?at your option\)? any later version
-GPL-3.0-or-later | notice | or later,any later | general public licen[sc]e,? ?(?:version|v\.?) ?3(?:\.0)?,? (?:or (?:\(at your option\) )?(?:any )?later)(?: version)?
+GPL-3.0-or-later | notice | or later,any later,option) later | general public licen[sc]e,? ?(?:version|v\.?) ?3(?:\.0)?,? (?:or (?:\(at your option\) )?(?:any )?later)(?: version)?
 GPL-2.0 | notice | general public licen | licen[sc]ed under (?:the )?(?:terms of (?:the )?)?gnu general public licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?\b
 GPL-2.0 | notice | general public licen | (?:released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?gnu general public licen[sc]e,? ?(?:version|v\.?)? ?2(?:\.0)?\b
 GPL-2.0 | text | general public licen | gnu general public licen[sc]e version 2, june 1991
@@ -70,7 +70,7 @@ GPL-2.0-only | name | gpl | \bgpl[- ]?(?:v\.?)?2(?:\.0)?[- ]only\b
 GPL-2.0-only | notice | general public licen | general public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.0)? only\b
 GPL-2.0-or-later | name | gpl | \bgpl[- ]?(?:v\.?)?2(?:\.0)?(?:\+|[- ]or[- ]later)
 GPL-2.0-or-later | notice | either version 2 | general public licen[sc]e as published by the free software foundation[,;] either version 2 of the licen[sc]e,? or \(?at your option\)? any later version
-GPL-2.0-or-later | notice | or later,any later | general public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.0)?,? (?:or (?:\(at your option\) )?(?:any )?later)(?: version)?
+GPL-2.0-or-later | notice | or later,any later,option) later | general public licen[sc]e,? ?(?:version|v\.?) ?2(?:\.0)?,? (?:or (?:\(at your option\) )?(?:any )?later)(?: version)?
 GPL-2.0-with-classpath-exception | notice | classpath | (?:gpl(?:v2)?|general public licen[sc]e).{0,60}?classpath exception
 GPL-1.0 | text | general public licen | gnu general public licen[sc]e version 1, february 1989
 GPL-1.0 | name | general public licen | general public licen[sc]e,? ?(?:version|v\.?) ?1(?:\.0)?\b
@@ -240,12 +240,12 @@ CECILL-2.1 | name | cecill | \bcecill(?:-| )?(?:v|version )?2\.1\b
 CECILL-B | name | cecill | \bcecill-b\b
 CECILL-C | name | cecill | \bcecill-c\b
 CECILL | hint | cecill | \bcecill\b
-ODbL-1.0 | name | open database licen,odbl | \b(?:open (?:data commons )?(?:open )?database licen[sc]e|odbl)(?:,? ?-?(?:version|v\.?)? ?1\.0)?\b
+ODbL-1.0 | name | database licen,odbl | \b(?:open (?:data commons )?(?:open )?database licen[sc]e|odbl)(?:,? ?-?(?:version|v\.?)? ?1\.0)?\b
 ODC-By-1.0 | name | open data commons attribution,odc-by | \b(?:open data commons attribution licen[sc]e|odc-by)(?:,? ?-?(?:version|v\.?)? ?1\.0)?\b
 PDDL-1.0 | name | public domain dedication,pddl | \b(?:open data commons public domain dedication(?: and| &)? licen[sc]e|pddl)(?:,? ?-?(?:version|v\.?)? ?1\.0)?\b
 OGL-UK-3.0 | name | open government licen | open government licen[sc]e(?:,? ?(?:version|v\.?)? ?3(?:\.0)?)?\b
 Etalab-2.0 | name | licence ouverte | licence ouverte(?: / open licen[sc]e)?(?:,? ?(?:version|v\.?)? ?2\.0)?\b
-OpenRAIL-M | name | openrail | \b(?:creativeml |bigcode |bigscience )?open ?rail(?:\+\+)?(?:-m)?(?: licen[sc]e)?\b
+OpenRAIL-M | name | openrail,open rail | \b(?:creativeml |bigcode |bigscience )?open ?rail(?:\+\+)?(?:-m)?(?: licen[sc]e)?\b
 Llama | name | llama | \bllama ?[23](?:\.\d)? community licen[sc]e\b
 Gemma | name | gemma terms | \bgemma terms of use\b
 HPND | text | permission to use | permission to use, copy, modify,? and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted
@@ -262,7 +262,7 @@ Intel | name | intel open source,intel simplified | \bintel (?:open source|simpl
 Naver | name | naver | \bnaver open source licen[sc]e\b
 proprietary | notice | all rights reserved | \ball rights reserved\b
 proprietary | notice | confidential | (?:proprietary and confidential|confidential and proprietary)\b
-proprietary | notice | unauthorized copying | unauthori[sz]ed copying of this (?:file|software|document),? via any medium,? is strictly prohibited
+proprietary | notice | unauthorized copying,unauthorised copying | unauthori[sz]ed copying of this (?:file|software|document),? via any medium,? is strictly prohibited
 proprietary | notice | commercial licen | (?:released|distributed|licen[sc]ed|available) under (?:a |the )?commercial licen[sc]e\b
 proprietary | name | end user licen,end-user licen,eula | \b(?:end[- ]user licen[sc]e agreement|eula)\b
 non-commercial | notice | non-commercial,noncommercial | (?:for )?non-?commercial use only\b

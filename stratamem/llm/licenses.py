@@ -45,6 +45,7 @@ class Rule:
 
 
 _GAP = r"[\s*#/]+"
+_GAPS = re.compile(_GAP)
 
 
 def _compiled(text: str) -> re.Pattern:
@@ -90,7 +91,7 @@ def _automaton() -> ahocorasick.Automaton:
     by: dict[str, list[int]] = {}
     for r in rules():
         for k in r.keywords:
-            by.setdefault(k, []).append(r.number)
+            by.setdefault(_GAPS.sub(" ", k), []).append(r.number)
     automaton = ahocorasick.Automaton()
     for k, numbers in by.items():
         automaton.add_word(k, tuple(numbers))
@@ -119,16 +120,17 @@ def _matches(text: str, rule: Rule) -> list[tuple[int, int, Rule]]:
     return [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text) if m.end() > m.start()]
 
 
-_GAPS = re.compile(_GAP)
+def tried(text: str) -> list[int]:
+    """The numbers of the rules that both filters leave to be tried."""
+    low = text.lower()
+    if next(_stem_automaton().iter(low), None) is None:
+        return []
+    return sorted({n for _, group in _automaton().iter(_GAPS.sub(" ", low)) for n in group})
 
 
 def detect(text: str) -> list[tuple[int, int, Rule]]:
     """Resolved matches in one text."""
-    low = text.lower()
-    if next(_stem_automaton().iter(low), None) is None:
-        return []
-    numbers = {n for _, group in _automaton().iter(_GAPS.sub(" ", low)) for n in group}
-    return resolve([m for n in sorted(numbers) for m in _matches(text, rules()[n])])
+    return resolve([m for n in tried(text) for m in _matches(text, rules()[n])])
 
 
 _TAG = re.compile(r"(?i)spdx-license-identifier\s*:\s*(.*)", re.DOTALL)

@@ -311,6 +311,59 @@ def test_license_keywords_lose_nothing():
         assert licenses.detect(t) == every and every
 
 
+def example(pattern, r):
+    """A text built from a regex's parse tree: random branches, few repeats."""
+    from re import _constants as C, _parser
+    groups = {}
+
+    def one(items):
+        negated = items[0][0] is C.NEGATE
+
+        def holds(c):
+            for op, v in items[negated:]:
+                if op is C.LITERAL and ord(c) == v or op is C.RANGE and v[0] <= ord(c) <= v[1]:
+                    return True
+                if op is C.CATEGORY:
+                    plain = {C.CATEGORY_SPACE: c.isspace(), C.CATEGORY_DIGIT: c.isdigit(), C.CATEGORY_WORD: c.isalnum() or c == "_"}
+                    if plain.get(v, False) or v is C.CATEGORY_NOT_SPACE and not c.isspace():
+                        return True
+            return False
+
+        fit = [c for c in map(chr, [10, *range(32, 127), *range(160, 1000), *range(8190, 8260)]) if holds(c) != negated]
+        return r.choice([c for c in fit if c in " \nab12"] or fit)
+
+    def build(tree):
+        out = []
+        for op, v in tree:
+            if op is C.LITERAL:
+                out.append(chr(v))
+            elif op in (C.NOT_LITERAL, C.ANY):
+                out.append("a")
+            elif op is C.IN:
+                out.append(one(v))
+            elif op is C.BRANCH:
+                out.append(build(r.choice(v[1])))
+            elif op is C.SUBPATTERN:
+                out.append(build(v[3]))
+                groups[v[0]] = out[-1]
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+                out += [build(v[2]) for _ in range(r.randint(v[0], min(v[1], v[0] + 1)))]
+            elif op is C.GROUPREF:
+                out.append(groups[v])
+            else:
+                assert op in (C.AT, C.ASSERT, C.ASSERT_NOT), op
+        return "".join(out)
+
+    return build(_parser.parse(pattern.pattern, pattern.flags))
+
+
+def test_every_license_rule_passes_the_filters():
+    for rule in licenses.rules():
+        texts = [t for seed in range(40) if rule.pattern.search(t := example(rule.pattern, random.Random(seed)))]
+        assert texts and all(rule.number in licenses.tried(t) for t in texts), (rule.number, rule.keywords)
+    assert [m[2].license for t in ("see https://scripts.sil.org/OFL", "Tcl/Tk license") for m in licenses.detect(t)] == ["OFL-1.1", "TCL"]
+
+
 def test_licenses_special_cases(spark):
     docs = frame(spark, [*ODD, "MIT license", "MIT license"], ids=[*range(9), None, None])
     rows = licenses.scan(docs).collect()
