@@ -22,7 +22,9 @@ Defined results. NULL media give a NULL fingerprint, empty ones an empty one.
 Recordings too short for one item are padded with silence to one, and the last
 frame is padded likewise. Rows with a NULL doc_id get a fingerprint and no
 matches. Repeated rows get equal results. Rows of the same doc_id with other
-media are recordings of their own. A malformed WAVE header makes the bytes raw
+media are recordings of their own. Equal fingerprints of any length above 0 are
+copies; other matches need SHARED equal items and a segment of SEGMENT items, or
+of all items of the shorter recording if it has fewer. A malformed WAVE header makes the bytes raw
 PCM. An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -222,7 +224,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
         done = until
     if not len(hit) or votes.max() < VOTES:
         return None
-    best = None
+    best, least = None, min(SEGMENT, len(a), len(b))
     for offset in (np.flatnonzero(votes == votes.max()) - len(a)).tolist():
         first, last = max(0, offset), min(len(b), len(a) + offset)
         wrong = np.bitwise_count((b[first:last] ^ a[first - offset : last - offset]).view(np.uint32)).astype(np.int64) if last > first else np.zeros(0, np.int64)
@@ -230,7 +232,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, float] | None:
         low = np.minimum.accumulate(gain)
         end = int(np.argmax(gain - low))
         start = int(np.argmin(gain[: end + 1]))
-        if end - start >= SEGMENT:
+        if end - start >= least:
             error = float(wrong[start:end].sum()) / (32 * (end - start))
             found = (gain[start] - gain[end], abs(offset), offset, first + start, end - start, error)
             best = found if best is None else min(best, found)
@@ -296,7 +298,7 @@ def match(prints: DataFrame) -> DataFrame:
     rows = keyed.join(same.select("digest", "first"), "digest", "left").join(by, "digest", "left")
     copy = F.struct(F.col("first").alias("doc_id"), F.lit(0).alias("offset"), F.lit(0).alias("start"), F.size("fingerprint").alias("length"), F.lit(0.0).alias("bit_error"))
     none = F.array().cast(by.schema["found"].dataType)
-    copies = F.when((F.col("doc_id") > F.col("first")) & (F.size("fingerprint") >= SEGMENT), F.array(copy)).otherwise(none)
+    copies = F.when((F.col("doc_id") > F.col("first")) & (F.size("fingerprint") > 0), F.array(copy)).otherwise(none)
     matches = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_sort(F.concat(copies, F.coalesce("found", none))))
     return rows.select("doc_id", "duration_ms", "fingerprint", matches.alias("matches"))
 

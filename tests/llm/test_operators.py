@@ -440,6 +440,15 @@ def test_media_waves_and_special_cases(spark):
     assert media.match(media.fingerprint(df.limit(0), "media")).count() == 0
 
 
+def test_media_matches_short_recordings(spark):
+    x = media.synthetic(9, 0.75)
+    rows = [(1, pcm(x)), (2, pcm(x)), (3, pcm(x[:-media.HOP])), (4, pcm(x[:2000])), (5, pcm(x[:2000])), (6, pcm(media.synthetic(10, 0.75)))]
+    out = {r.doc_id: r for r in media.match(media.fingerprint(spark.createDataFrame(rows, "doc_id bigint, media binary"), "media")).collect()}
+    assert 2 < len(out[3].fingerprint) < len(out[1].fingerprint) < media.SEGMENT and len(out[4].fingerprint) == 1
+    assert [(m.doc_id, m.offset) for m in out[2].matches] == [(1, 0)] == [(m.doc_id, m.offset) for m in out[3].matches]
+    assert [m.doc_id for m in out[5].matches] == [4] and not out[6].matches and not out[1].matches
+
+
 # 10
 
 
