@@ -7,12 +7,13 @@ is quantised to two Gray-coded bits, which gives one packed 32-bit integer per
 frame. The quantiser's thresholds are quartiles over a synthetic recording made
 from a fixed seed.
 
-Recordings with equal fingerprints are collapsed. An item (packed integer) that
-n recordings hold gives n - 1 links, each to its first holder, and links that
-share SHARED items are aligned: the histogram of the offsets between equal items
-picks the offset, and the segment there with the fewest wrong bits is the match.
-No item and no partner is left out. Only fingerprints, some 2 % of the bytes,
-are shuffled.
+Recordings with equal fingerprints are collapsed; the first stands for all. All
+pairs that share SHARED items (packed integers) are aligned: the histogram of the
+offsets between equal items picks the offset, and the segment there with the
+fewest wrong bits is the match. No pair is left out, however frequent its items;
+recordings with fewer than SHARED items that others hold are dropped before the
+pairs are counted. Only fingerprints, some 2 % of the bytes, are shuffled, but
+the pairs grow with the square of an item's holders.
 
 The media column holds RIFF/WAVE files (8 or 16 bit PCM, any channels and rate)
 or raw unsigned 8-bit PCM at RATE; the corpus' own tables have no audio, so the
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,7 +276,7 @@ def fingerprint(docs: DataFrame, media: str) -> DataFrame:
 
 
 def match(prints: DataFrame) -> DataFrame:
-    """``prints`` with ``matches``: for each recording the earlier ones (of lesser doc_id) that it aligns with.
+    """``prints`` with ``matches``: for each recording all earlier ones (of lesser doc_id) that it aligns with, copies being named by their first.
 
     A match is (doc_id, offset, start, length, bit_error) in frames of HOP
     samples: items [start, start + length) equal those of the other recording
@@ -287,8 +288,11 @@ def match(prints: DataFrame) -> DataFrame:
     same = saved(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fp")), "recordings")
     who = F.struct(F.col("first").alias("id"), F.col("digest"))
     held = same.select("first", "digest", F.explode(F.array_distinct("fp")).alias("item"))
-    led = held.groupBy("item").agg(F.min(who).alias("lead"), F.max(who).alias("last")).filter("lead != last").select("item", "lead")
-    pairs = held.join(led, "item").filter(F.col("lead") != who).groupBy(F.col("lead.digest").alias("from"), "digest").count().filter(F.col("count") >= SHARED).select("from", "digest")
+    often = held.groupBy("item").count().filter("count > 1").select("item")
+    several = F.count("*").over(Window.partitionBy("digest"))
+    shared = saved(held.join(often, "item").withColumn("several", several).filter(F.col("several") >= SHARED).select("item", who.alias("who")), "items")
+    earlier = shared.select("item", F.col("who").alias("lead"))
+    pairs = shared.join(earlier, "item").filter("lead < who").groupBy(F.col("lead.digest").alias("from"), F.col("who.digest").alias("digest")).count().filter(F.col("count") >= SHARED).select("from", "digest")
     left = same.select(F.col("digest").alias("from"), "first", F.col("fp").alias("fa"))
     right = same.select("digest", F.col("fp").alias("fb"))
     found = T.StructType([T.StructField("digest", T.LongType()), T.StructField("first", kind), *(T.StructField(c, T.IntegerType()) for c in ("offset", "start", "length")), T.StructField("bit_error", T.DoubleType())])

@@ -440,6 +440,15 @@ def test_media_waves_and_special_cases(spark):
     assert media.match(media.fingerprint(df.limit(0), "media")).count() == 0
 
 
+def test_media_aligns_all_pairs(spark):
+    """Recordings whose common items all have earlier holders, each another one, are aligned with each other too."""
+    x, hop = media.synthetic(7, 16), media.HOP
+    rows = list(enumerate(map(pcm, (x[: 270 * hop], x[230 * hop :], x, x[10 * hop :], x[20 * hop : 160 * hop], x[40 * hop : 180 * hop]))))
+    out = {r.doc_id: {m.doc_id: (m.offset, m.length) for m in r.matches} for r in media.match(media.fingerprint(spark.createDataFrame(rows, "doc_id bigint, media binary"), "media")).collect()}
+    assert out[2].keys() == {0, 1} and out[3].keys() == {0, 1, 2} and out[5].keys() == {0, 2, 3, 4}
+    assert out[3][2][0] == -10 and out[3][2][1] > 400 and out[5][4][0] == -20
+
+
 def test_media_matches_short_recordings(spark):
     x = media.synthetic(9, 0.75)
     rows = [(1, pcm(x)), (2, pcm(x)), (3, pcm(x[:-media.HOP])), (4, pcm(x[:2000])), (5, pcm(x[:2000])), (6, pcm(media.synthetic(10, 0.75)))]
