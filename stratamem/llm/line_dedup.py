@@ -11,14 +11,16 @@ An anchor that n documents share gives n - 1 pairs, each with the anchor's
 first holder: a rare one pairs just the documents that overlap, and a frequent
 one costs one alignment per document instead of n**2. That loses nothing, as one
 earlier holder is enough to delete a block, and no anchor is left out. After an
-alignment the lines it didn't delete are aligned again until nothing is found,
-so blocks in another order are deleted too. The first holder of a block keeps it.
+alignment the lines it didn't delete are aligned again until nothing is found.
+A rising chain can miss a block in another order, so what anchors are then still
+shared are deleted with the longest blocks they begin, until none is left. The
+first holder of a block keeps it.
 
 Only fingerprints move in the search: line hashes are shuffled, texts once, to
 meet the lists of lines to delete.
 
 Defined results. NULL and empty texts stay as they are. Lines without a word
-are deleted only inside a block. Repeats within one document stay. Rows with
+are deleted only inside a block and don't part its anchors. Repeats within one document stay. Rows with
 the same doc_id and text are one document and get the same result; rows with
 the same doc_id and other texts are ordered by a hash of the text. A NULL doc_id
 comes before all others. A document that loses all its lines has an empty text.
@@ -136,8 +138,78 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _windows(seq: list[int | None], size: dict[int, int], min_words: int) -> set[tuple[int, ...]]:
+    """The shortest runs of at least ``min_words`` words from each place of ``seq``; None parts runs."""
+    out = set()
+    for i in range(len(seq)):
+        n, end = 0, i
+        while n < min_words and end < len(seq) and seq[end] is not None:
+            n += size[seq[end]]
+            end += 1
+        if n >= min_words:
+            out.add(tuple(seq[i:end]))
+    return out
+
+
+def _longest(a: list[int | None], b: list[int | None]) -> list[int]:
+    """For each place of ``b`` the length of the longest run from there on that ``a`` holds; by a suffix automaton, in linear time."""
+    link, length, step, last = [-1], [0], [{}], 0
+    for x in reversed(a):
+        new, p = len(link), last
+        link.append(0)
+        length.append(length[last] + 1)
+        step.append({})
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] != length[p] + 1:
+                twin = len(link)
+                link.append(link[q])
+                length.append(length[p] + 1)
+                step.append(dict(step[q]))
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                link[q], q = twin, twin
+            link[new] = q
+        last = new
+    out, at, n = [0] * len(b), 0, 0
+    for j in range(len(b) - 1, -1, -1):
+        x = b[j]
+        while x is not None and at and x not in step[at]:
+            at = link[at]
+            n = length[at]
+        if x is not None and x in step[at]:
+            at, n = step[at][x], n + 1
+        else:
+            at, n = 0, 0
+        out[j] = n
+    return out
+
+
+def _left(a: list[int], b: list[int | None], words: list[int], min_words: int) -> list[int]:
+    """Lines of ``b`` in the blocks that anchors still shared with ``a`` begin, wherever they are in ``a``. None in ``b`` is a deleted line."""
+    size = {x: n for x, n in zip(b, words) if x}
+    one = [x if x in size else None for x in a if x]
+    place = [j for j, x in enumerate(b) if x != 0]
+    two = [b[j] for j in place]
+    if _windows(one, size, min_words).isdisjoint(_windows(two, size, min_words)):
+        return []
+    runs, found, j = _longest(one, two), [], 0
+    while j < len(two):
+        end = j + runs[j]
+        if sum(size[x] for x in two[j:end]) >= min_words:
+            found += range(place[j], place[end - 1] + 1)
+            j = end
+        else:
+            j += 1
+    return found
+
+
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Lines of ``b`` in common blocks with ``a`` of at least ``min_words`` words; ``b`` is aligned again without them until none is left."""
+    """Lines of ``b`` in common blocks with ``a`` of at least ``min_words`` words; ``b`` is aligned again without them until none is left, then searched for anchors that no alignment took."""
     found: list[int] = []
     b = list(b)
     while True:
@@ -152,7 +224,7 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
             run.append(j)
             was = (i, j)
         if not new:
-            return found
+            return found + _left(a, b, words, min_words)
         found += new
         for j in new:
             b[j] = None

@@ -262,6 +262,24 @@ def test_line_dedup_special_cases(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_leaves_no_shared_anchor(spark):
+    """A long passage goes though more short lines are shared in the other order; blank lines don't part it."""
+    passage, menu = prose(60, 31), ["Home", "About", "Contact"]
+    parts = [prose(6, 32), prose(6, 33)]
+    texts = ["\n".join([passage, *menu]), "\n".join([*menu, passage]), "\n".join(parts), "\n\n".join(parts)]
+    got = [r.text for r in line_dedup.dedup_lines(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "\n".join(menu), texts[2], ""]
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.randrange(6) for _ in range(r.randrange(1, 25))] for _ in range(2))
+        words = [0 if x == 0 else 3 for x in b]
+        gone = set(line_dedup.common_blocks(a, b, words, 10))
+        left = ["-" if j in gone else str(x) for j, x in enumerate(b) if x or j in gone]
+        runs = {"".join(left[j : j + 4]) for j in range(len(left) - 3)}
+        whole = "".join(str(x) for x in a if x)
+        assert not any("-" not in x and x in whole for x in runs)
+
+
 def test_patience_finds_common_subsequences():
     r = random.Random(4)
     for _ in range(50):
