@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours with an inverted file of K-means cells; ``vectors.knn`` is the exact answer it is measured against."""
+"""Nearest neighbours with an inverted file of K-means cells; ``vectors.knn`` is the exact answer it is measured against."""
 
 from __future__ import annotations
 
@@ -14,32 +14,52 @@ from stratamem.operators import vectors
 class IvfIndex:
     """Vectors in cells, written partitioned by cell so that a search reads only the cells it probes.
 
-    Cells are trained on at most ``sample`` vectors, chosen by the hash of the
-    id; all vectors are assigned. What's broadcast are the centres.
+    Cells are trained on all vectors. What's broadcast are the centres.
     """
 
-    def __init__(self, df: DataFrame, cells: int = 64, sample: int = 100_000, vector: str = "embedding", id_col: str = "vec_id", seed: int = 7) -> None:
+    def __init__(self, df: DataFrame, cells: int = 64, vector: str = "embedding", id_col: str = "vec_id", seed: int = 7) -> None:
         self.vector, self.id_col = vector, id_col
-        chosen = df.orderBy(F.xxhash64(id_col)).limit(sample).select(array_to_vector(vectors.normalize(F.col(vector))).alias("features"))
+        chosen = df.select(array_to_vector(vectors.normalize(F.col(vector))).alias("features"))
         self.centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(chosen).clusterCenters())
-        self.rows = df.withColumn("cell", self._nearest(1)[0])
+        self.rows = df.withColumn("cell", self._ranked()[0]["cell"])
+        widest = df.select(self._ranked()[0].alias("c")).groupBy("c.cell").agg(F.max("c.d")).collect()
+        self.radius = [0.0] * len(self.centres)
+        for cell, d in widest:
+            self.radius[cell] = float(d) ** 0.5
 
-    def _nearest(self, n: int):
-        """An array column of the ``n`` nearest cells."""
+    def _ranked(self):
+        """An array column of (squared distance, cell), the nearest first."""
         v = vectors.normalize(F.col(self.vector))
         table = F.array(*(F.struct(vectors.squared_euclidean(v, F.array(*map(F.lit, c.tolist()))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(self.centres)))
-        return F.transform(F.slice(F.array_sort(table), 1, n), lambda s: s["cell"])
+        return F.array_sort(table)
 
     def save(self, path: str) -> None:
         self.rows.write.mode("overwrite").partitionBy("cell").parquet(path)
 
     def search(self, queries: DataFrame, k: int, probe: int = 8) -> DataFrame:
-        """(query_id, neighbor_id, rank, distance) by cosine distance among the ``probe`` cells nearest to each query."""
-        q = queries.select(F.col(self.id_col).alias("query_id"), F.col(self.vector).alias("q"), F.explode(self._nearest(probe)).alias("cell"))
+        """(query_id, neighbor_id, rank, distance) by cosine distance; exact.
+
+        The ``probe`` nearest cells are read first, then those that can hold a
+        nearer vector than the k-th found: ones whose centre is no farther than
+        that distance and the cell's radius.
+        """
+        q = queries.select(F.col(self.id_col).alias("query_id"), F.col(self.vector).alias("q"), F.posexplode(self._ranked()).alias("at", "c")).select("query_id", "q", "at", "c.cell", "c.d")
         d = self.rows.select(F.col(self.id_col).alias("neighbor_id"), F.col(self.vector).alias("v"), "cell")
-        near = q.join(d, "cell").filter("query_id != neighbor_id").select("query_id", "neighbor_id", F.round(vectors.cosine_distance(F.col("q"), F.col("v")), 6).alias("distance"))
         w = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-        return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
+
+        def near(asked: DataFrame) -> DataFrame:
+            return asked.join(d, "cell").filter("query_id != neighbor_id").select("query_id", "neighbor_id", F.round(vectors.cosine_distance(F.col("q"), F.col("v")), 6).alias("distance"))
+
+        def best(found: DataFrame) -> DataFrame:
+            return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
+
+        first = best(near(q.filter(F.col("at") < probe))).persist()
+        last = first.filter(F.col("rank") == k).select("query_id", F.col("distance").alias("kth"))
+        radius = F.get(F.array(*map(F.lit, self.radius)), F.col("cell"))
+        # distances are rounded to six places, and unit vectors at cosine distance t are sqrt(2 t) apart
+        open_ = F.col("kth").isNull() | (F.sqrt("d") - radius <= F.sqrt(2 * F.greatest(F.col("kth"), F.lit(0.0)) + 4e-6))
+        rest = q.filter(F.col("at") >= probe).join(last, "query_id", "left").filter(open_)
+        return best(first.drop("rank").unionByName(near(rest)))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> float:

@@ -97,7 +97,7 @@ def scoped_recall(spark, d):
 
 @query("knn_ivf")
 def knn_ivf(spark, d):
-    """Approximate nearest neighbours of every vector, from the nearest 8 of 16 cells."""
+    """The ten nearest neighbours of every vector, from the nearest 8 of 16 cells and those that can hold nearer ones."""
     e = read(spark, d, "embeddings")
     return ann.IvfIndex(e, 16).search(e, 10, 8)
 

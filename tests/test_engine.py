@@ -41,6 +41,12 @@ def test_ivf_recall(spark):
     assert ann.recall(index.search(df, 5, probe=8), exact) == 1.0
 
 
+def test_ivf_with_the_query_parameters(spark):
+    x = np.random.default_rng(3).normal(size=(300, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id int, embedding array<double>")
+    assert ann.recall(ann.IvfIndex(df, 16).search(df, 10, 8), vectors.knn_batch(df, df, 10)) >= 0.99
+
+
 def test_exact_batch_search_has_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
     g = np.random.default_rng(2)
