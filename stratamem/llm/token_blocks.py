@@ -2,24 +2,30 @@
 
 A document's ids are cut into blocks of at most BLOCK ids. Every block starts
 from a fresh model, carries the CRC-32 of its ids and decodes by itself. An id is
-coded as up to five decisions:
+coded as up to five events:
 
-1. is it the id predicted by the last two ids (or by the last one, if those two
-   are new)? Its probability mixes what orders 2, 1 and 0 expect in the
-   logistic domain, with weights that learn from each outcome;
+1. where the last two ids (order 2) or the last one (order 1) were met before:
+   is the id the one that followed then? Its probability mixes what the orders 2,
+   1 and 0 expect of such a prediction, each from its own hits so far, with
+   weights that follow from how well each has coded the block so far;
 2. if not, is it the order-1 prediction, where that differs?
-3. if not, which of 15 often seen ids (the order-0 list) is it, or none?
-4. if none, its bit length, from an adaptive distribution;
-5. its remaining bits.
-
-All blocks of a batch are coded in step, one id of each at a time, so each
-numpy operation serves up to LANES blocks and no Python runs per id. All
-arithmetic is in integers, so that any machine decodes what another encoded.
+3. if not, a symbol: how far back the id was last met (the bit length of the
+   distance), or, for a new one, the bit length of the id;
+4. the remaining bits of that distance or id, up to 15 at once.
+
+All statistics are counts of the block's earlier ids, brought up to date at the
+positions of ``_STEP``. So what the encoder needs isn't a state that changes with
+each id, but counts and sums over all ids before: sorted by context they are runs,
+and by position cumulative sums. The model of a whole batch of blocks is
+evaluated by array operations; only the coder's interval is advanced event by
+event, in step for all blocks. All arithmetic is in integers, so that any
+machine decodes what another encoded.
 
 Defined results. A NULL text gives one row with NULL n_tokens, crc32 and
 payload; an empty text one with 0 ids and an empty payload. Repeated rows give
 equal blocks. Rows with a NULL doc_id are coded like others. An empty table gives
 an empty result. A payload that doesn't decode to ids of its CRC raises an error.
+Ids run from 0 to 2**31 - 1. Other columns than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -37,254 +43,434 @@ from .bpe import VOCABULARY, _pieces_of, encoded
 from .common import arrow_safe, read
 from .tokens import library
 
-BLOCK, LANES = 4096, 2048
-_SLOTS = 4096
-_LIST = 15
-_TOP = 16  # bits of a total
+BLOCK = 4096
+#: Blocks that are decoded in step, and ids whose model is evaluated at once (addresses of their contexts fit into 16 bits).
+LANES, CHUNK = 2048, 1 << 15
+#: Blocks whose events are coded in step, so many that an array operation's fixed cost is small; fewer if their events take this much memory (4 bytes each, and as much again for words).
+TOGETHER, MOST_EVENTS = 8192, 1 << 25
 _U = np.uint64
+_ONE = 1 << 16  # the total of a distribution
+_LOW, _HALF, _ONE32, _WORD, _LEAST = np.uint32(0xFFFF), np.uint32(16), np.uint32(1), _U(16), _U(1 << 32)
 
-_points = np.arange(4096)
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(_points - 2048) / 256.0))), 1, 4095).astype(np.int64)
-_STRETCH = np.clip(np.round(256 * np.log((_points + 0.5) / (4096 - _points - 0.5))), -2047, 2047).astype(np.int64)
-_BIT_LENGTH = np.array([i.bit_length() for i in range(65536)], np.int64)
+#: Position within a block -> how often the statistics were brought up to date before it.
+_EDGES = np.array([0, 4, 8, 16, 32, 64, 128, 192, *range(256, BLOCK, 128)])
+_STEP = np.searchsorted(_EDGES, np.arange(BLOCK), "right") - 1
+_BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+#: Symbols: bit lengths of a distance less one, then bit lengths of an id.
+_NEAR, _SIZES = 12, 32
+_SYMBOLS = _NEAR + _SIZES
+_PRIOR = np.array([4] * _NEAR + [4] * 17 + [1] * (_SIZES - 17), np.int64)
+_GAIN = 8
+_INVERSE = np.array([0, *((1 << 32) // np.arange(1, BLOCK * _GAIN + int(_PRIOR.sum()) + 1))], np.int64)
+#: State of a context: never met, then by the run of right predictions in it (0 after a wrong one, 1 if met once).
+_RUN = np.array([1, 2, 3, 4, 4, 5, 5, 5], np.int64)
+_STATES = 6
+_SURE = np.array([2, 2, 4, 6, 7, 7], np.int64)  # hits of 8 that a state's prediction is taken to have had
+_COUNTS = 8
+_LOG = np.round(-256 * np.log2((np.arange(4096) + 0.5) / 4096)).astype(np.int64)  # cost of a probability, in 1/256 bit
+_EXP = np.round(65536 * 2.0 ** (-np.arange(8192) / 512)).astype(np.int64)  # weight by how much more than the best an order has cost
 
 
-def _targets(n: int) -> np.ndarray:
-    """For each symbol, the cumulative frequencies (of 2**16) that its updates move to; each symbol keeps some frequency."""
-    i = np.arange(n + 1)
-    least = 32
-    return np.stack([i * least + ((1 << _TOP) - n * least) * (i > s) for s in range(n)]).astype(np.int32)
+def _low_id(a: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The slot of an id among 2**bits."""
+    return ((a * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - bits)
 
 
-_LIST_TARGET, _SIZE_TARGET = _targets(_LIST + 1), _targets(17)
+def _low_pair(a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The slot of a pair of ids among 2**bits."""
+    return ((((a * 0x85EBCA77 + b * 0x9E3779B1) & 0xFFFFFFFF) * 0x2C1B3C6D) & 0xFFFFFFFF) >> (32 - bits)
 
 
-def _flat(n: int, lanes: int) -> np.ndarray:
-    return np.tile((np.arange(n + 1) * (1 << _TOP) // n).astype(np.int32), (lanes, 1))
+def _slot_bits(length: np.ndarray) -> np.ndarray:
+    return _BITS[np.maximum(length, 1) - 1].astype(np.int64)
 
 
-class _Encoder:
-    """Range coders, one per lane: 48-bit low with carries settled at the end, 16-bit words out."""
+def _odds(hits: np.ndarray, every: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Probabilities, of 2**16, of a hit in each state, from its counts and how many hits of one event, in eighths, it starts with."""
+    return np.clip((hits * 8 + prior) * _INVERSE[8::8][every] >> 16, 256, _ONE - 256)
 
-    def __init__(self, lanes: int, ids: int) -> None:
-        self.lanes = lanes
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-        self.pos = np.zeros(lanes, np.int64)
-        self.out = np.zeros((2 * ids + 16, lanes), np.uint32)
 
-    def put(self, at, start: np.ndarray, freq: np.ndarray) -> None:
-        """Codes an event [start, start + freq) of 2**16 in the lanes ``at`` (an index array or a slice)."""
-        step = self.range[at] >> _U(_TOP)
-        self.low[at] += step * start.astype(_U)
-        step *= freq.astype(_U)
-        self.range[at] = step
-        small = np.flatnonzero(step < _U(1 << 32))
+def _flags(p: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The events of hits of probability ``p`` and misses."""
+    return np.where(hit, (p - 1) << 16, p | (_ONE - 1 - p) << 16)
+
+
+def _weights(cost: np.ndarray) -> np.ndarray:
+    """Shares, of 2**16, of the orders by what each has cost so far (.., 3)."""
+    w = _EXP[np.minimum(cost - cost.min(-1, keepdims=True), len(_EXP) - 1)]
+    return w * _ONE // w.sum(-1, keepdims=True)
+
+
+def _cumulative(counts: np.ndarray) -> np.ndarray:
+    """Limits, of 2**16, of each symbol by its count so far (.., symbols + 1)."""
+    mass = counts * _GAIN + _PRIOR
+    out = np.zeros((*mass.shape[:-1], _SYMBOLS + 1), np.int64)
+    np.cumsum(mass, -1, out=out[..., 1:])
+    out *= _INVERSE[out[..., -1:]]
+    out >>= 16
+    return out
+
+
+_SURE2, _SURE1 = np.repeat(_SURE, 3), np.repeat(_SURE, 3)
+_SURE0 = np.full(_COUNTS, 4, np.int64)
+_SECOND = np.full(_STATES, 2, np.int64)
+
+
+class _Chains:
+    """For each position the one before it with the same context, and the run of right predictions along such links."""
+
+    def __init__(self, address: np.ndarray, same, at: np.ndarray) -> None:
+        """``address``: slot of each context; ``same(i, j)``: whether two places of ``at`` have the same context."""
+        self.order = np.argsort(address.astype(np.uint16), kind="stable")
+        self.place = at[self.order]
+        self.linked = np.zeros(len(at), bool)
+        if len(at) > 1:
+            here, back = self.place[1:], self.place[:-1]
+            near = address[self.order]
+            self.linked[1:] = (near[1:] == near[:-1]) & same(here, back)
+
+    def runs(self, right: np.ndarray) -> np.ndarray:
+        """Run of right predictions up to each (in the order of the chains), 1 at a chain's first."""
+        i = np.arange(len(right))
+        start = np.where(self.linked, np.where(right, -1, i), i - 1)
+        return i - np.maximum.accumulate(start) if len(i) else i
+
+
+def _events(ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(events, row pointers) of blocks [ptr[i], ptr[i+1]) of ``ids``; an event is start | (frequency - 1) << 16, of 2**16."""
+    n, length = len(ids), np.diff(ptr)
+    bits_of = _slot_bits(length)
+    size = 1 << bits_of
+    block = np.repeat(np.arange(len(length)), length)
+    spot = np.arange(n)
+    t = spot - ptr[block]
+    base = (np.cumsum(size) - size)[block]
+    bits = bits_of[block]
+
+    # order 0: the last place of the same id, and how often it was met; order 1: what follows such places
+    zero = _Chains(base + _low_id(ids, bits), lambda i, j: ids[i] == ids[j], spot)
+    link = np.flatnonzero(zero.linked)
+    here, back = zero.place[link], zero.place[link - 1]
+    before0 = np.full(n, -1)
+    before0[here] = back
+    times = np.empty(n, np.int64)
+    times[zero.place] = zero.runs(zero.linked)
+    before1 = np.full(n + 1, -1)
+    before1[here + 1] = back + 1
+    before1 = before1[:n]
+    before1[ptr[:-1][length > 0]] = -1
+    can = np.flatnonzero(before1 >= 0)
+    back1 = before1[can]
+    told1, x = ids[back1], ids[can]
+    right1 = told1 == x
+    right = np.zeros(n + 1, bool)
+    right[can] = right1
+    run = np.empty(n + 1, np.int64)
+    run[zero.place + 1] = zero.runs(right[zero.place + 1])
+    state1 = _RUN[np.minimum(run[back1], 7)]
+
+    # order 2, where order 1 has a prediction too
+    at = np.flatnonzero(t >= 2)
+    a, b = ids[at - 2], ids[at - 1]
+    two = _Chains(base[at] + _low_pair(a, b, bits[at]), lambda i, j: (ids[i - 1] == ids[j - 1]) & (ids[i - 2] == ids[j - 2]), at)
+    link = np.flatnonzero(two.linked)
+    here, back = two.place[link], two.place[link - 1]
+    before2 = np.full(n, -1)
+    before2[here] = back
+    right = np.zeros(n, bool)
+    right[here] = ids[back] == ids[here]
+    run = np.empty(n, np.int64)
+    run[two.place] = two.runs(right[two.place])
+    back2 = before2[can]
+    has2 = np.flatnonzero(back2 >= 0)
+    state2, kind = np.zeros(len(can), np.int64), np.zeros(len(can), np.int64)
+    told, hit, back = told1.copy(), right1.copy(), back1.copy()
+    back[has2] = back2[has2]
+    told[has2] = ids[back[has2]]
+    hit[has2] = told[has2] == x[has2]
+    state2[has2] = _RUN[np.minimum(run[back[has2]], 7)]
+    kind[has2] = 1 + (told[has2] == told1[has2])
+
+    # rows of statistics: one for each block and step
+    rows = np.where(length > 0, _STEP[np.maximum(length, 1) - 1] + 1, 0)
+    row0 = np.cumsum(rows) - rows
+    row = row0[block] + _STEP[t]
+    total = int(rows.sum())
+    lead = np.repeat(row0, rows)
+
+    def earlier(counts: np.ndarray) -> np.ndarray:
+        """Sums over a block's earlier rows."""
+        sums = np.zeros((len(counts) + 1, counts.shape[1]), np.int64)
+        np.cumsum(counts, 0, out=sums[1:])
+        return sums[:-1] - sums[lead]
+
+    def known(key: np.ndarray, width: int) -> np.ndarray:
+        return earlier(np.bincount(key, minlength=total * width).reshape(total, width))
+
+    # 1: the prediction of the highest order that has one
+    r = row[can]
+    key2, key1, key0 = state2 * 3 + kind, state1 * 3 + kind, np.minimum(_BITS[times[back]], _COUNTS - 1)
+    miss = ~hit
+    flip = miss * _ONE
+    chance, cost = [], np.empty((total, 3), np.int64)
+    edge = np.searchsorted(r, np.arange(total + 1))
+    sums = np.zeros(len(can) + 1, np.int64)
+    for o, (key, width, prior) in enumerate(((key2, 3 * _STATES, _SURE2), (key1, 3 * _STATES, _SURE1), (key0, _COUNTS, _SURE0))):
+        k = r * width + key
+        odds = _odds(known(k[hit], width), known(k, width), prior).ravel()[k]
+        chance.append(odds)
+        np.cumsum(_LOG[np.abs(odds - flip) >> 4], out=sums[1:])
+        cost[:, o] = earlier(np.diff(sums[edge])[:, None])[:, 0]
+    w = np.ascontiguousarray(_weights(cost).T)
+    p = w[0][r] * chance[0]
+    p += w[1][r] * chance[1]
+    p += w[2][r] * chance[2]
+    p >>= 16
+    slots = np.zeros((n, 5 if n and int(ids.max()) >> 16 else 4), np.uint32)
+    slots[can, 0] = _flags(np.clip(p, 64, _ONE - 64), hit)
+
+    # 2: the order-1 prediction
+    other = np.flatnonzero(miss & (kind == 1))
+    hit2 = right1[other]
+    k = r[other] * _STATES + state1[other]
+    slots[can[other], 1] = _flags(_odds(known(k[hit2], _STATES), known(k, _STATES), _SECOND).ravel()[k], hit2)
+
+    # 3: the symbol
+    miss[other] = ~hit2
+    rest = before1 < 0
+    rest[can] = miss
+    at = np.flatnonzero(rest)
+    r, back = row[at], before0[at]
+    near = back >= 0
+    value = np.where(near, at - back, ids[at])
+    if slots.shape[1] == 5:
+        high = value >> 16
+        long = np.where(high > 0, 16 + _BITS[high & 0xFFFF].astype(np.int64), _BITS[value & 0xFFFF])
+    else:
+        long = _BITS[value].astype(np.int64)
+    symbol = long + np.where(near, -1, _NEAR)
+    limits = _cumulative(known(r * _SYMBOLS + symbol, _SYMBOLS)).ravel()
+    k = r * (_SYMBOLS + 1) + symbol
+    start = limits[k]
+    slots[at, 2] = start | (limits[k + 1] - start - 1) << 16
+
+    # 4: the bits below the highest, at most 15 at once
+    value -= (1 << long) >> 1
+    if slots.shape[1] == 5:
+        c = 32 - np.maximum(long, 17)
+        slots[at, 4] = np.where(long > 16, (value >> 15) << c | ((1 << c) - 1) << 16, 0)
+        value &= (1 << 15) - 1
+    c = 17 - np.clip(long, 1, 16)
+    slots[at, 3] = np.where(long > 1, value << c | ((1 << c) - 1) << 16, 0)
+    flat = slots.ravel()
+    used = np.flatnonzero(flat)
+    return flat[used], np.searchsorted(used, ptr * slots.shape[1])
+
+
+def _code(events: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(16-bit words, row pointers) of the range coders of all blocks: 48-bit low, carries settled at the end."""
+    length = np.diff(ptr)
+    order = np.argsort(-length, kind="stable")
+    length = length[order]
+    lanes = int((length > 0).sum())
+    next_, room = ptr[:-1][order].copy(), length + 3
+    origin = np.cumsum(room) - room
+    pos = origin.copy()
+    out = np.zeros(int(room.sum()), np.uint32)
+    low, span = np.zeros(len(order), _U), np.full(len(order), 1 << 48, _U)
+
+    def emit(at: np.ndarray) -> None:
+        place, value = pos[at], low[at]
+        out[place] = value >> _U(32)
+        pos[at] = place + 1
+        low[at] = (value & _U(0xFFFFFFFF)) << _U(16)
+
+    active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), "left")
+    event, start, wide, part = np.empty(lanes, np.uint32), np.empty(lanes, np.uint32), np.empty(lanes, _U), np.empty(lanes, bool)
+    for m in active.tolist():
+        here, step, e, a, w = next_[:m], span[:m], event[:m], start[:m], wide[:m]
+        np.take(events, here, out=e, mode="clip")
+        here += 1
+        np.bitwise_and(e, _LOW, out=a)
+        e >>= _HALF
+        e += _ONE32
+        step >>= _WORD
+        np.multiply(step, a, out=w)
+        low[:m] += w
+        step *= e
+        small = np.flatnonzero(np.less(step, _LEAST, out=part[:m]))
         if len(small):
-            if isinstance(at, np.ndarray):
-                small = at[small]
-            self._emit(small)
-            self.range[small] <<= _U(16)
-
-    def _emit(self, at: np.ndarray) -> None:
-        pos = self.pos[at]
-        if int(pos.max()) + 1 >= len(self.out):
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)])
-        low = self.low[at]
-        self.out[pos, at] = low >> _U(32)
-        self.pos[at] = pos + 1
-        self.low[at] = (low & _U(0xFFFFFFFF)) << _U(16)
-
-    def payloads(self) -> list[bytes]:
-        every = np.arange(self.lanes)
-        for _ in range(3):
-            self._emit(every)
-        words = self.out[: int(self.pos.max())]
-        for j in range(len(words) - 1, 0, -1):
-            words[j - 1] += words[j] >> 16
-        words &= 0xFFFF
-        flat = np.ascontiguousarray(words.T).astype(">u2")
-        return [flat[i, : self.pos[i]].tobytes() for i in range(self.lanes)]
-
-    def binary(self, at, p: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        self.put(at, np.where(hit, 0, p), np.where(hit, p, (1 << _TOP) - p))
-        return hit
+            emit(small)
+            span[small] <<= _WORD
+    for _ in range(3):
+        emit(np.arange(lanes))
+    used = pos - origin
+    back = np.argsort(order, kind="stable")
+    end = np.cumsum(used[back])
+    spot = np.arange(int(end[-1]) if len(end) else 0) + np.repeat((origin[back] - (end - used[back])), used[back])
+    words = out[spot]
+    while True:
+        over = np.flatnonzero(words >> 16)
+        if not len(over):
+            return words.astype(np.uint16), np.concatenate([[0], end])
+        words[over] &= 0xFFFF
+        words[over - 1] += 1
+
+
+def modelled(ids: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(events, row pointers) of blocks [ptr[i], ptr[i+1]) of ids, none of them longer than BLOCK."""
+    if len(ids) and (int(ids.min()) < 0 or int(np.diff(ptr).max()) > BLOCK):
+        raise ValueError("an id is negative or a block too long")
+    events, sizes, at = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+    while at < len(ptr) - 1:
+        end = max(at + 1, int(np.searchsorted(ptr, ptr[at] + CHUNK, "right")) - 1)
+        e, own = _events(ids[ptr[at] : ptr[end]].astype(np.int64), ptr[at : end + 1] - ptr[at])
+        events.append(e)
+        sizes.append(own[1:] + sizes[-1][-1])
+        at = end
+    return np.concatenate(events), np.concatenate(sizes)
+
+
+def payloads(events: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, row pointers): the payloads of blocks of events."""
+    words, own = _code(events, ptr)
+    return words.astype(">u2").view(np.uint8), own * 2
 
-    def symbol(self, at, cdf: np.ndarray, value: np.ndarray) -> np.ndarray:
-        row = np.arange(len(value))
-        start = cdf[row, value]
-        self.put(at, start, cdf[row, value + 1] - start)
-        return value
 
-    def bits(self, at, count: np.ndarray, value: np.ndarray) -> np.ndarray:
-        shift = _TOP - count
-        self.put(at, value << shift, np.left_shift(1, shift))
-        return value
+def compress(blocks: list[np.ndarray]) -> list[bytes]:
+    """The payload of each block of ids."""
+    ptr = np.concatenate([[0], np.cumsum([len(b) for b in blocks], dtype=np.int64)]).astype(np.int64)
+    raw, own = payloads(*modelled(np.concatenate(blocks) if blocks else np.zeros(0, np.int64), ptr))
+    return [raw[a:b].tobytes() for a, b in zip(own[:-1], own[1:])]
 
 
 class _Decoder:
+    """Range decoders, one per lane."""
+
     def __init__(self, payloads: list[bytes]) -> None:
         lanes = len(payloads)
         longest = max(len(p) for p in payloads) // 2
         self.words = np.zeros((longest + 4, lanes), _U)
         for i, p in enumerate(payloads):
-            w = np.frombuffer(p, ">u2")
+            w = np.frombuffer(p[: len(p) // 2 * 2], ">u2")
             self.words[: len(w), i] = w
         self.code = (self.words[0] << _U(32)) | (self.words[1] << _U(16)) | self.words[2]
         self.range, self.pos = np.full(lanes, 1 << 48, _U), np.full(lanes, 3)
 
-    def _value(self, at) -> np.ndarray:
-        return np.minimum(self.code[at] // (self.range[at] >> _U(_TOP)), _U((1 << _TOP) - 1)).astype(np.int64)
+    def value(self, at: np.ndarray) -> np.ndarray:
+        return np.minimum(self.code[at] // (self.range[at] >> _U(16)), _U(_ONE - 1)).astype(np.int64)
 
-    def _take(self, at, start: np.ndarray, freq: np.ndarray) -> None:
-        step = self.range[at] >> _U(_TOP)
+    def take(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        step = self.range[at] >> _U(16)
         self.code[at] -= step * start.astype(_U)
         step *= freq.astype(_U)
         self.range[at] = step
-        small = np.flatnonzero(step < _U(1 << 32))
-        if len(small):
-            if isinstance(at, np.ndarray):
-                small = at[small]
-            pos = np.minimum(self.pos[small], len(self.words) - 1)
-            self.code[small] = (self.code[small] << _U(16)) | self.words[pos, small]
-            self.pos[small] += 1
-            self.range[small] <<= _U(16)
-
-    def binary(self, at, p: np.ndarray, hit: None) -> np.ndarray:
-        hit = self._value(at) < p
-        self._take(at, np.where(hit, 0, p), np.where(hit, p, (1 << _TOP) - p))
+        small = at[step < _U(1 << 32)]
+        pos = np.minimum(self.pos[small], len(self.words) - 1)
+        self.code[small] = (self.code[small] << _U(16)) | self.words[pos, small]
+        self.pos[small] += 1
+        self.range[small] <<= _U(16)
+
+    def flag(self, at: np.ndarray, p: np.ndarray) -> np.ndarray:
+        hit = self.value(at) < p
+        self.take(at, np.where(hit, 0, p), np.where(hit, p, _ONE - p))
         return hit
 
-    def symbol(self, at, cdf: np.ndarray, value: None) -> np.ndarray:
-        found = (self._value(at)[:, None] >= cdf[:, 1:]).sum(1)
+    def symbol(self, at: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        found = np.minimum((self.value(at)[:, None] >= limits[:, 1:]).sum(1), limits.shape[1] - 2)
         row = np.arange(len(found))
-        start = cdf[row, found]
-        self._take(at, start, cdf[row, found + 1] - start)
+        start = limits[row, found]
+        self.take(at, start, limits[row, found + 1] - start)
         return found
 
-    def bits(self, at, count: np.ndarray, value: None) -> np.ndarray:
-        shift = _TOP - count
-        found = self._value(at) >> shift
-        self._take(at, found << shift, np.left_shift(1, shift))
+    def bits(self, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        found = self.value(at) >> (16 - count)
+        self.take(at, found << (16 - count), np.left_shift(1, 16 - count))
         return found
 
 
-def _code(coder, length: np.ndarray, ids: np.ndarray, write: bool) -> None:
-    """Codes (or, without ``write``, fills in) ids[t, lane] for t < length[lane]; lanes are sorted by falling length."""
-    lanes = len(length)
-    base = np.arange(lanes, dtype=np.int64) * _SLOTS
-    guess2, guess1 = np.zeros(lanes * _SLOTS, np.uint16), np.zeros(lanes * _SLOTS, np.uint16)
-    sure2, sure1 = np.zeros(lanes * _SLOTS, np.uint8), np.zeros(lanes * _SLOTS, np.uint8)
-    rate2, rate1, rate0 = np.full(lanes * 8, 1 << 15, np.int32), np.full(lanes * 16, 1 << 15, np.int32), np.full(lanes, 1 << 14, np.int32)
-    rate2[::8], rate1[::16], rate1[1::16] = 1 << 8, 1 << 8, 1 << 8
-    second = np.full(lanes * 8, 1 << 14, np.int32)
-    weight = np.full((3, lanes), 1 << 15, np.int64)
-    often = np.zeros((lanes, _LIST), np.int64)
-    often_cdf, size_cdf = _flat(_LIST + 1, lanes), _flat(17, lanes)
-    lane8, lane16 = np.arange(lanes) * 8, np.arange(lanes) * 16
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if lanes else 0), "left")
+def _decode(coder: _Decoder, length: np.ndarray) -> np.ndarray:
+    """ids[t, lane] for t < length[lane]; lanes are sorted by falling length. The same model as in ``_events``, an id of every lane at a time."""
+    lanes, longest = len(length), int(length[0])
+    every = np.arange(lanes)
+    ids = np.full((longest + 1, lanes), -1, np.int64)
+    bits = _slot_bits(length)
+    last0, last2 = np.full((1 << int(bits[0]), lanes), -1, np.int16), np.full((1 << int(bits[0]), lanes), -1, np.int16)
+    run1, run2, times = (np.ones((longest + 1, lanes), np.int16) for _ in range(3))
+    count2, count1, count0 = (np.zeros((lanes, w, 2), np.int64) for w in (3 * _STATES, 3 * _STATES, _COUNTS))
+    count_second, count_symbol = np.zeros((lanes, _STATES, 2), np.int64), np.zeros((lanes, _SYMBOLS), np.int64)
+    cost = np.zeros((lanes, 3), np.int64)
+    next1 = np.full(lanes, -1)
+    active = np.searchsorted(-length, -np.arange(longest), "left")
+    edges = set(_EDGES.tolist())
     for t, m in enumerate(active.tolist()):
-        s = slice(0, m)
-        x = ids[t, s] if write else None
-        a, b = last[s], before[s]
-        at2 = base[s] + ((((a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFFFF) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20)
-        at1 = base[s] + (((a * 0x9E3779B1) & 0xFFFFFFFF) >> 20)
-        p2, p1, c2, c1 = guess2[at2].astype(np.int64), guess1[at1].astype(np.int64), sure2[at2], sure1[at1]
-        best = np.where(c2 > 0, p2, p1)
-        i2, i1 = lane8[s] + c2, lane16[s] + 2 * c1 + (p1 == p2)
-        q2, q1, q0 = rate2[i2], rate1[i1], rate0[s]
-        s2, s1, s0 = _STRETCH[q2 >> 4], _STRETCH[q1 >> 4], _STRETCH[q0 >> 4]
-        w2, w1, w0 = weight[0, s], weight[1, s], weight[2, s]
-        p = _SQUASH[np.clip((w2 * s2 + w1 * s1 + w0 * s0) >> 16, -2047, 2047) + 2048]
-        hit = coder.binary(s, p << 4, x == best if write else None)
-        goal = np.where(hit, 65520, 15)
-        rate2[i2] = q2 + ((goal - q2) >> 4)
-        rate1[i1] = q1 + ((goal - q1) >> 4)
-        rate0[s] = q0 + ((goal - q0) >> 5)
-        error = (np.where(hit, 4095, 0) - p) * 6
-        weight[0, s] = w2 + ((s2 * error + 0x2000) >> 14)
-        weight[1, s] = w1 + ((s1 * error + 0x2000) >> 14)
-        weight[2, s] = w0 + ((s0 * error + 0x2000) >> 14)
-        if not write:
-            x = best.copy()
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            other = miss[(c2[miss] > 0) & (c1[miss] > 0) & (p1[miss] != p2[miss])]
+        at = every[:m]
+        if t in edges:
+            odds2, odds1, odds0, odds_second = (_odds(c[:m, :, 1], c[:m].sum(-1), prior) for c, prior in ((count2, _SURE2), (count1, _SURE1), (count0, _SURE0), (count_second, _SECOND)))
+            limits, w = _cumulative(count_symbol[:m]), _weights(cost[:m])
+        before1 = next1[:m]
+        told1 = ids[before1, at]
+        state1 = np.where(before1 >= 0, _RUN[np.minimum(run1[before1, at], 7)], 0)
+        before2, raw2, told2, state2 = np.full(m, -1), np.full(m, -1), np.full(m, -1), np.zeros(m, np.int64)
+        if t >= 2:
+            a, b = ids[t - 2, :m], ids[t - 1, :m]
+            slot2 = _low_pair(a, b, bits[:m])
+            q = last2[slot2, at].astype(np.int64)
+            raw2 = np.where((q >= 0) & (ids[q - 1, at] == b) & (ids[q - 2, at] == a), q, -1)
+            before2 = np.where(before1 >= 0, raw2, -1)
+            last2[slot2, at] = t
+            told2 = ids[raw2, at]
+            state2 = np.where(before2 >= 0, _RUN[np.minimum(run2[before2, at], 7)], 0)
+        x = np.full(m, -1)
+        done = np.zeros(m, bool)
+        can = np.flatnonzero(before1 >= 0)
+        if len(can):
+            b2 = before2[can] >= 0
+            kind = np.where(b2, 1 + (told1[can] == told2[can]), 0)
+            key2, key1 = state2[can] * 3 + kind, state1[can] * 3 + kind
+            key0 = np.minimum(_BITS[times[np.where(b2, before2[can], before1[can]), can]], _COUNTS - 1)
+            chance = [odds2[can, key2], odds1[can, key1], odds0[can, key0]]
+            share = w[can]
+            p = np.clip((share[:, 0] * chance[0] + share[:, 1] * chance[1] + share[:, 2] * chance[2]) >> 16, 64, _ONE - 64)
+            hit = coder.flag(can, p)
+            for o, (counts, key) in enumerate(((count2, key2), (count1, key1), (count0, key0))):
+                counts[can, key, hit.astype(np.int64)] += 1
+                cost[can, o] += _LOG[np.where(hit, chance[o], _ONE - chance[o]) >> 4]
+            won = can[hit]
+            x[won] = np.where(before2[won] >= 0, told2[won], told1[won])
+            done[won] = True
+            other = can[~hit & (kind == 1)]
             if len(other):
-                j = lane8[other] + c1[other]
-                q = second[j]
-                one = coder.binary(other, np.clip(q, 64, 65472).astype(np.int64), x[other] == p1[other] if write else None)
-                second[j] = q + ((np.where(one, 65520, 15) - q) >> 4)
-                if not write:
-                    x[other[one]] = p1[other[one]]
-                done = np.zeros(m, bool)
-                done[other[one]] = True
-                miss = miss[~done[miss]]
-        if len(miss):
-            rows = often[miss]
-            place = None
-            if write:
-                same = rows == x[miss][:, None]
-                place = np.where(same.any(1), same.argmax(1), _LIST)
-            cdf = often_cdf[miss]
-            place = coder.symbol(miss, cdf, place)
-            often_cdf[miss] = cdf + ((_LIST_TARGET[place] - cdf) >> 5)
-            new = place == _LIST
-            lit = miss[new]
-            if not write:
-                old = ~new
-                x[miss[old]] = rows[np.flatnonzero(old), place[old]]
-            if len(lit):
-                cdf = size_cdf[lit]
-                size = coder.symbol(lit, cdf, _BIT_LENGTH[x[lit]] if write else None)
-                size_cdf[lit] = cdf + ((_SIZE_TARGET[size] - cdf) >> 5)
-                long = size > 1
-                far = lit[long]
-                count = size[long] - 1
-                high = np.left_shift(1, count)
-                if not write:
-                    x[lit] = size  # sizes 0 and 1 are the ids 0 and 1
-                if len(far):
-                    low = coder.bits(far, count, x[far] - high if write else None)
-                    if not write:
-                        x[far] = high + low
-            # a listed id moves half-way to the front; a new one takes the last place
-            to = np.where(new, _LIST - 1, place >> 1)
-            here = np.minimum(place, _LIST - 1)
-            often[miss, here] = often[miss, to]
-            often[miss, to] = x[miss]
-        for guess, sure, at, g, c in ((guess2, sure2, at2, p2, c2), (guess1, sure1, at1, p1, c1)):
-            right = (g == x) & (c > 0)
-            weak = ~right & (c < 2)
-            guess[at] = np.where(weak, x, g)
-            sure[at] = np.where(right, np.minimum(c + 1, 7), np.where(weak, 1, c >> 1))
-        before[s] = a
-        last[s] = x
-        if not write:
-            ids[t, s] = x
-
-
-def _grid(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    length = np.array([len(b) for b in blocks])
-    ids = np.zeros((int(length[0]) if len(blocks) else 0, len(blocks)), np.int64)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    return length, ids
-
-
-def compress(blocks: list[np.ndarray]) -> list[bytes]:
-    """The payload of each block of ids (0 to 65535)."""
-    order = np.argsort([-len(b) for b in blocks], kind="stable")
-    out: list[bytes] = [b""] * len(blocks)
-    for first in range(0, len(order), LANES):
-        part = [i for i in order[first : first + LANES] if len(blocks[i])]
-        if part:
-            length, ids = _grid([blocks[i] for i in part])
-            coder = _Encoder(len(part), len(ids))
-            _code(coder, length, ids, True)
-            for i, p in zip(part, coder.payloads()):
-                out[i] = p
-    return out
+                hit = coder.flag(other, odds_second[other, state1[other]])
+                count_second[other, state1[other], hit.astype(np.int64)] += 1
+                won = other[hit]
+                x[won] = told1[won]
+                done[won] = True
+        rest = np.flatnonzero(~done)
+        if len(rest):
+            symbol = coder.symbol(rest, limits[rest])
+            count_symbol[rest, symbol] += 1
+            near = symbol < _NEAR
+            long = np.where(near, symbol + 1, symbol - _NEAR)
+            count = np.maximum(long - 1, 0)
+            value = (1 << long) >> 1
+            some = count > 0
+            if some.any():
+                value[some] += coder.bits(rest[some], np.minimum(count[some], 15))
+            many = count > 15
+            if many.any():
+                value[many] += coder.bits(rest[many], count[many] - 15) << 15
+            x[rest] = np.where(near, ids[np.clip(t - value, 0, longest), rest], value)
+        ids[t, :m] = x
+        slot0 = _low_id(x, bits[:m])
+        q = last0[slot0, at].astype(np.int64)
+        q = np.where((q >= 0) & (ids[q, at] == x), q, -1)
+        last0[slot0, at] = t
+        times[t, :m] = np.where(q >= 0, times[q, at] + 1, 1)
+        run1[t, :m] = np.where(before1 >= 0, np.where(told1 == x, np.minimum(run1[before1, at] + 1, 99), 0), 1)
+        run2[t, :m] = np.where(raw2 >= 0, np.where(told2 == x, np.minimum(run2[raw2, at] + 1, 99), 0), 1)
+        next1[:m] = np.where(q >= 0, q + 1, -1)
+    return ids
 
 
 def expand(payloads: list[bytes], lengths: list[int], checks: list[int]) -> list[np.ndarray]:
@@ -295,8 +481,7 @@ def expand(payloads: list[bytes], lengths: list[int], checks: list[int]) -> list
         part = [i for i in order[first : first + LANES] if lengths[i]]
         if part:
             length = np.array([lengths[i] for i in part])
-            ids = np.zeros((int(length[0]), len(part)), np.int64)
-            _code(_Decoder([payloads[i] for i in part]), length, ids, False)
+            ids = _decode(_Decoder([payloads[i] for i in part]), length)
             for j, i in enumerate(part):
                 out[i] = ids[: length[j], j].astype(np.int32)
     for ids, check in zip(out, checks):
@@ -305,37 +490,53 @@ def expand(payloads: list[bytes], lengths: list[int], checks: list[int]) -> list
     return out
 
 
-_FIELDS = [T.StructField("block", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("crc32", T.LongType()), T.StructField("payload", T.BinaryType())]
+_FIELDS = [T.StructField("rid", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("crc32", T.LongType()), T.StructField("payload", T.BinaryType())]
 
 
 def encode_blocks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, block, n_tokens, crc32, payload): the blocks of every document, numbered from 0."""
-    arrow_safe(docs.sparkSession, 32 << 20)  # the more blocks a batch has, the fewer operations each needs
+    """(doc_id, rid, block, n_tokens, crc32, payload): the blocks of every document, numbered from 0; rid is xxhash64(doc_id, text)."""
+    arrow_safe(docs.sparkSession)
+
+    def finished(rows: list[dict[str, pa.Array]], events: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        raw, own = payloads(np.concatenate(events), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+        out = {c: pa.concat_arrays([r[c] for r in rows]) for c in rows[0]}
+        null = np.asarray(out["n_tokens"].is_null())
+        out["payload"] = pa.Array.from_buffers(pa.binary(), len(null), [pa.array(~null).buffers()[1], pa.py_buffer(own.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+        return pa.RecordBatch.from_pydict(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stretches = library(vocabulary)
-        for batch in (b for whole in batches for b in _pieces_of(whole, "text", 16 << 20)):
+        coder = library(vocabulary)
+        rows, events, sizes, blocks, held = [], [], [], 0, 0
+        for batch in (b for whole in batches for b in _pieces_of(whole, "text")):
             text = batch.column("text")
-            null = np.asarray(text.is_null())
-            flat, ptr = encoded(text, stretches)
+            gone = np.asarray(text.is_null())
+            flat, ptr = encoded(text, coder)
             count = np.maximum(-(-np.diff(ptr) // BLOCK), 1)
             row = np.repeat(np.arange(len(count)), count)
             number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = ptr[row] + number * BLOCK
-            blocks = [flat[a : min(a + BLOCK, e)] for a, e in zip(start.tolist(), ptr[row + 1].tolist())]
-            gone = null[row]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(pa.array(row)), "block": pa.array(number.astype(np.int32)),
-                "n_tokens": pa.array(np.array([len(b) for b in blocks], np.int32), mask=gone),
-                "crc32": pa.array(np.array([zlib.crc32(b.tobytes()) for b in blocks], np.int64), mask=gone),
-                "payload": pa.array([None if g else p for g, p in zip(gone, compress(blocks))], pa.binary()),
+            limits = np.append(ptr[row] + number * BLOCK, len(flat))
+            view = memoryview(flat)
+            checks = [zlib.crc32(view[a:b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
+            at, gone = pa.array(row), gone[row]
+            rows.append({
+                "doc_id": batch.column("doc_id").take(at), "rid": batch.column("rid").take(at), "block": pa.array(number.astype(np.int32)),
+                "n_tokens": pa.array(np.diff(limits).astype(np.int32), mask=gone), "crc32": pa.array(np.array(checks, np.int64), mask=gone),
             })
+            e, own = modelled(flat, limits)
+            events.append(e)
+            sizes.append(np.diff(own))
+            blocks, held = blocks + len(row), held + len(e)
+            if blocks >= TOGETHER or held >= MOST_EVENTS:
+                yield finished(rows, events, sizes)
+                rows, events, sizes, blocks, held = [], [], [], 0, 0
+        if rows:
+            yield finished(rows, events, sizes)
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_FIELDS]))
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_FIELDS]))
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block, token_ids) of each block."""
+    """(doc_id, rid, block, token_ids) of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,15 +546,15 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
             data = [batch.column(c).to_pylist() for c in ("payload", "n_tokens", "crc32")]
             for i, v in zip(known, expand(*([d[i] for i in known] for d in data))):
                 ids[i] = v
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "block": batch.column("block"), "token_ids": pa.array(ids, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({**{c: batch.column(c) for c in ("doc_id", "rid", "block")}, "token_ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    kind = T.StructType([blocks.schema["doc_id"], T.StructField("block", T.IntegerType()), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return blocks.select("doc_id", "block", "n_tokens", "crc32", "payload").mapInArrow(run, kind)
+    kind = T.StructType([blocks.schema["doc_id"], *_FIELDS[:2], T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    return blocks.select("doc_id", "rid", "block", "n_tokens", "crc32", "payload").mapInArrow(run, kind)
 
 
 def decode_documents(blocks: DataFrame) -> DataFrame:
-    """(doc_id, token_ids): the documents whole again. Needs unique doc_ids."""
-    parts = decode_blocks(blocks).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "token_ids"))).alias("parts"))
+    """(doc_id, token_ids): the documents whole again, one row per document of a rid. Rows that repeat doc_id and text give one; other texts of a doc_id give rows of their own; a NULL text gives NULL ids."""
+    parts = decode_blocks(blocks.dropDuplicates(["rid", "block"])).groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("block", "token_ids"))).alias("parts"))
     return parts.select("doc_id", F.flatten(F.transform("parts", lambda p: p["token_ids"])).alias("token_ids"))
 
 

@@ -1,7 +1,6 @@
 """Token ids and counts of texts by a public tokenizer, for operators that only need the ids.
 
-The ids are those of ``bpe``; misses of the table of known stretches go to the
-installed ``tiktoken`` library instead of the encoder in Python.
+The ids are those of ``bpe``, but from the installed ``tiktoken`` library, a text at a time.
 """
 
 from __future__ import annotations
@@ -11,27 +10,19 @@ from functools import lru_cache
 
 import tiktoken
 
-from .bpe import PATTERN, VOCABULARY, Stretches, load
+from .bpe import PATTERN, VOCABULARY, load
 
 
 @lru_cache(maxsize=2)
-def library(path: str = VOCABULARY) -> Stretches:
-    coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load(path), special_tokens={})
-    return Whole(coder.encode_ordinary)
+def library(path: str = VOCABULARY) -> Whole:
+    return Whole(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load(path), special_tokens={}))
 
 
-class Whole(Stretches):
-    """Stretches that are encoded in one call each."""
+class Whole:
+    """A text's ids as int32 bytes."""
 
-    def __init__(self, encode) -> None:
-        super().__init__(lambda s: [s], encode)
-        self.whole = encode
+    def __init__(self, coder: tiktoken.Encoding) -> None:
+        self.coder = coder
 
     def ids(self, text: str) -> bytes:
-        if "  " in text or (text[-1:] == " " and text[:-1] != text[:-1].rstrip()):
-            return array("i", self.whole(text)).tobytes()
-        return super().ids(text)
-
-    def of(self, stretch: str) -> bytes:
-        got = self.known[stretch] = array("i", self.encode(stretch)).tobytes()
-        return got
+        return array("i", self.coder.encode_ordinary(text)).tobytes()

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and its results in special cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,41 @@ def test_token_blocks_round_trip(spark):
     assert token_blocks.encode_blocks(docs.limit(0)).count() == 0
 
 
+def test_token_blocks_of_repeated_doc_ids(spark):
+    docs = frame(spark, ["one two", "three four five", "one two", None], ids=[1, 1, 1, 1])
+    back = token_blocks.decode_documents(token_blocks.encode_blocks(docs)).collect()
+    want = [None] + [tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.load(), special_tokens={}).encode_ordinary(t) for t in ("one two", "three four five")]
+    assert sorted((r.token_ids or [] for r in back)) == sorted(w or [] for w in want) and {r.doc_id for r in back} == {1}
+
+
+def test_token_blocks_of_any_ids():
+    r = np.random.default_rng(3)
+    blocks = [r.integers(0, 2**31, 300), np.array([2**31 - 1, 0, 65535, 65536, 131072] * 9), np.zeros(0, int), np.zeros(4096, int), np.array([5]), np.array([5, 6]), *(r.integers(0, 40, n) for n in (3, 4, 5, 8, 9, 33, 65, 4096, 4095)), r.zipf(1.3, 4096) % 60000]
+    blocks = [b.astype(np.int32) for b in blocks]
+    packed = token_blocks.compress(blocks)
+    out = token_blocks.expand(packed, [len(b) for b in blocks], [zlib.crc32(b.tobytes()) for b in blocks])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, out))
+    # a block's payload doesn't depend on its neighbours
+    assert [token_blocks.compress([b])[0] for b in blocks] == packed
+    # a constant block costs next to nothing, one of 40 equally likely ids about log2(40) = 5.3 bits each
+    assert len(packed[3]) < 60 and 8 * len(packed[13]) / 4096 < 7
+    with pytest.raises(ValueError):
+        token_blocks.compress([np.zeros(4097, int)])
+    with pytest.raises(ValueError):
+        token_blocks.compress([np.array([-1])])
+
+
+def test_token_blocks_cost_less_than_their_parts():
+    """Ids with order cost less than a third of the entropy of single ids."""
+    r = np.random.default_rng(8)
+    ids = np.tile(r.integers(0, 5000, 600), 7)[:4096].astype(np.int32)
+    other = r.random(4096) < 0.02
+    ids[other] = r.integers(0, 5000, int(other.sum()))
+    size = len(token_blocks.compress([ids])[0])
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * size < len(ids) * float(-(share * np.log2(share)).sum()) / 3
+
+
 def test_token_blocks_compress_and_check():
     ids = np.array([random.Random(1).choice([5, 9, 900, 50000, 9, 9]) for _ in range(5000)], np.int32)
     blocks = [ids[:4096], ids[4096:], np.zeros(0, np.int32), np.full(4096, 65535, np.int32)]
