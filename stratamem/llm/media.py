@@ -7,21 +7,26 @@ is quantised to two Gray-coded bits, which gives one packed 32-bit integer per
 frame. The quantiser's thresholds are quartiles over a synthetic recording made
 from a fixed seed.
 
-Recordings with equal fingerprints are collapsed; the first stands for all. All
-pairs that share SHARED items (packed integers) are aligned: the histogram of the
-offsets between equal items picks the offset, and the segment there with the
-fewest wrong bits is the match. No pair is left out, however frequent its items;
-recordings with fewer than SHARED items that others hold are dropped before the
-pairs are counted. Only fingerprints, some 2 % of the bytes, are shuffled, but
-the pairs grow with the square of an item's holders.
+Recordings with equal fingerprints are collapsed into a class; its first stands
+for all. The search takes a stated set of queries against all classes (without
+one, every class against all earlier ones). Every pair of a query and a class
+that share SHARED items (packed integers) is aligned: the histogram of the offsets
+between equal items picks the offset, and the segment there with the fewest wrong
+bits is the match. No pair is left out, however frequent its items.
+
+Only fingerprints, some 2 % of the bytes, are shuffled. Queries and classes are cut
+into blocks of bounded numbers of items, and each pair of blocks is solved by
+itself, its pairs in portions, so neither a frequent item nor a large class fills
+a task's memory, and no pair is shuffled before it's aligned.
 
 The media column holds RIFF/WAVE files (8 or 16 bit PCM, any channels and rate)
 or raw unsigned 8-bit PCM at RATE; the corpus' own tables have no audio, so the
 query reads each document's bytes, all of them, as raw PCM.
 
-Defined results. NULL media give a NULL fingerprint, empty ones an empty one.
+Defined results. NULL media give a NULL fingerprint, empty ones an empty one; both
+are of no class.
 Recordings too short for one item are padded with silence to one, and the last
-frame is padded likewise. Rows with a NULL doc_id get a fingerprint and no
+frame is padded likewise. Rows with a NULL doc_id get a fingerprint, no class and no
 matches. Repeated rows get equal results. Rows of the same doc_id with other
 media are recordings of their own. Equal fingerprints of any length above 0 are
 copies; other matches need SHARED equal items and a segment of SEGMENT items, or
@@ -36,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +63,8 @@ SPAN = max(f[3] for f in FILTERS)
 SHARED, VOTES, SEGMENT, MAX_ERROR = 2, 2, 8, 0.2
 #: Frames transformed at once.
 FRAMES = 2048
+#: Items of a block of queries and of a block of classes, and pairs of equal items looked at together.
+QUERY_ITEMS, BLOCK_ITEMS, PORTION = 1 << 20, 1 << 20, 1 << 21
 
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 _WINDOW = np.hanning(WINDOW + 1)[:-1].astype(np.float32)
@@ -254,18 +261,67 @@ def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep, out = [], []
-        for i, (a, b) in enumerate(zip(batch.column("fa"), batch.column("fb"))):
-            found = align(np.asarray(a.values), np.asarray(b.values))
-            if found:
-                keep.append(i)
-                out.append(found)
-        at = pa.array(keep, pa.int64())
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, row pointers) of a list column without NULLs."""
+    one = column.combine_chunks()
+    one = one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
+    return np.asarray(one.flatten()), np.concatenate([[0], np.cumsum(np.asarray(one.value_lengths()), dtype=np.int64)])
+
+
+def _distinct(items: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item) of the distinct items of each row, by row."""
+    key = np.unique(np.repeat(np.arange(len(ptr) - 1, dtype=np.uint64), np.diff(ptr)) << np.uint64(32) | items.view(np.uint32))
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def candidates(a: np.ndarray, a_ptr: np.ndarray, b: np.ndarray, b_ptr: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) of all pairs that share SHARED items, in portions."""
+    rows_b, items_b = _distinct(b, b_ptr)
+    order = np.argsort(items_b, kind="stable")
+    rows_b, items_b = rows_b[order], items_b[order]
+    rows_a, items_a = _distinct(a, a_ptr)
+    lo = np.searchsorted(items_b, items_a, "left")
+    n = np.searchsorted(items_b, items_a, "right") - lo
+    rows_a, lo, n = rows_a[n > 0], lo[n > 0], n[n > 0]
+    edge = np.append(np.flatnonzero(np.diff(rows_a, prepend=-1)), len(rows_a))
+    total = np.concatenate([[0], np.cumsum(n)])
+    at = 0
+    while at < len(edge) - 1:
+        end = max(at + 1, int(np.searchsorted(total[edge], total[edge[at]] + PORTION, "right")) - 1)
+        i, j = edge[at], edge[end]
+        m = n[i:j]
+        k = np.repeat(lo[i:j] - (total[i:j] - total[i]), m) + np.arange(int(m.sum()))
+        pair, count = np.unique(np.repeat(rows_a[i:j], m) * len(b_ptr) + rows_b[k], return_counts=True)
+        pair = pair[count >= SHARED]
+        yield pair // len(b_ptr), pair % len(b_ptr)
+        at = end
+
+
+def _search(earlier: bool):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Matches of the queries ``left`` among the classes ``right``."""
+        keep, out = ([], []), []
+        if left.num_rows and right.num_rows:
+            (b, b_ptr), (a, a_ptr) = (_lists(t.column("fp")) for t in (left, right))
+            digest_b, digest_a = (np.asarray(t.column("digest").combine_chunks()) for t in (left, right))
+            first_b, first_a = (t.column("first").to_pylist() for t in (left, right))
+            for i, j in candidates(a, a_ptr, b, b_ptr):
+                other = digest_a[i] != digest_b[j]
+                for i, j in zip(i[other].tolist(), j[other].tolist()):
+                    if earlier and (first_a[i], digest_a[i]) > (first_b[j], digest_b[j]):
+                        continue
+                    found = align(a[a_ptr[i] : a_ptr[i + 1]], b[b_ptr[j] : b_ptr[j + 1]])
+                    if found:
+                        keep[0].append(j)
+                        keep[1].append(i)
+                        out.append(found)
         columns = list(zip(*out)) if out else [()] * 4
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([batch.column("digest").take(at), batch.column("first").take(at), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["digest", "first", "offset", "start", "length", "bit_error"])
+        j, i = (pa.array(k, pa.int64()) for k in keep)
+        found = [left.column("digest").take(j), right.column("first").take(i), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+        return pa.table(found, names=["digest", "first", "offset", "start", "length", "bit_error"])
+
+    return run
 
 
 def fingerprint(docs: DataFrame, media: str) -> DataFrame:
@@ -275,39 +331,49 @@ def fingerprint(docs: DataFrame, media: str) -> DataFrame:
     return docs.select("doc_id", F.col(media).alias("media")).mapInArrow(_print_rows, schema)
 
 
-def match(prints: DataFrame) -> DataFrame:
-    """``prints`` with ``matches``: for each recording all earlier ones (of lesser doc_id) that it aligns with, copies being named by their first.
+def match(prints: DataFrame, queries: Column | None = None) -> DataFrame:
+    """``prints`` with ``first``, the least doc_id of the recording's class (those of an equal fingerprint), ``copies``, its number of rows, and ``matches``.
 
     A match is (doc_id, offset, start, length, bit_error) in frames of HOP
-    samples: items [start, start + length) equal those of the other recording
-    from start - offset on, but for a share bit_error of the bits.
+    samples: items [start, start + length) equal those of the class of doc_id
+    from start - offset on, but for a share bit_error of the bits. With ``queries``,
+    a condition on the rows, they get all classes they align with, and other rows
+    get NULL; without, each row gets the classes of lesser doc_id. A copy has its
+    own class among its matches, if it isn't the class' first.
     """
+    spark = prints.sparkSession
     kind = prints.schema["doc_id"].dataType
-    keyed = saved(prints.withColumn("digest", F.xxhash64("fingerprint")), "prints")
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    keyed = saved(prints.withColumn("asked", asked).withColumn("digest", F.xxhash64("fingerprint")), "prints")
     named = keyed.filter("doc_id is not null and size(fingerprint) > 0")
-    same = saved(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("fingerprint").alias("fp")), "recordings")
-    who = F.struct(F.col("first").alias("id"), F.col("digest"))
-    held = same.select("first", "digest", F.explode(F.array_distinct("fp")).alias("item"))
-    often = held.groupBy("item").count().filter("count > 1").select("item")
-    several = F.count("*").over(Window.partitionBy("digest"))
-    shared = saved(held.join(often, "item").withColumn("several", several).filter(F.col("several") >= SHARED).select("item", who.alias("who")), "items")
-    earlier = shared.select("item", F.col("who").alias("lead"))
-    pairs = shared.join(earlier, "item").filter("lead < who").groupBy(F.col("lead.digest").alias("from"), F.col("who.digest").alias("digest")).count().filter(F.col("count") >= SHARED).select("from", "digest")
-    left = same.select(F.col("digest").alias("from"), "first", F.col("fp").alias("fa"))
-    right = same.select("digest", F.col("fp").alias("fb"))
+    same = saved(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("asked").alias("asked"), F.first("fingerprint").alias("fp")), "recordings")
+    able = same.filter(F.size(F.array_distinct("fp")) >= SHARED)
+    items = F.sum(F.size("fp"))
+    all_items, asked_items = able.agg(items, F.sum(F.when(F.col("asked"), F.size("fp")))).first()
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    some = max(1, -(-(asked_items or 0) // QUERY_ITEMS))
+    # a block of classes may be smaller, so that all cores have one
+    many = max(1, -(-(all_items or 0) // BLOCK_ITEMS), min(2 * parts // some, (all_items or 0) // 4096))
+    columns = ["digest", "first", "fp"]
+    block = lambda n: F.expr(f"int(pmod(digest, {n}))")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n - 1})"))
+    left = able.filter("asked").select(*columns, block(some).alias("q"), every(many).alias("b"))
+    right = able.select(*columns, every(some).alias("q"), block(many).alias("b"))
     found = T.StructType([T.StructField("digest", T.LongType()), T.StructField("first", kind), *(T.StructField(c, T.IntegerType()) for c in ("offset", "start", "length")), T.StructField("bit_error", T.DoubleType())])
-    aligned = pairs.join(left, "from").join(right, "digest").select("digest", "first", "fa", "fb").mapInArrow(_align_rows, found)
+    aligned = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInArrow(_search(queries is None), found)
     one = F.struct(F.col("first").alias("doc_id"), "offset", "start", "length", F.round("bit_error", 6).alias("bit_error"))
     by = aligned.groupBy("digest").agg(F.array_sort(F.collect_list(one)).alias("found"))
-    rows = keyed.join(same.select("digest", "first"), "digest", "left").join(by, "digest", "left")
+    rows = keyed.join(same.select("digest", "first", "copies").join(by, "digest", "left"), "digest", "left")
     copy = F.struct(F.col("first").alias("doc_id"), F.lit(0).alias("offset"), F.lit(0).alias("start"), F.size("fingerprint").alias("length"), F.lit(0.0).alias("bit_error"))
     none = F.array().cast(by.schema["found"].dataType)
     copies = F.when((F.col("doc_id") > F.col("first")) & (F.size("fingerprint") > 0), F.array(copy)).otherwise(none)
-    matches = F.when(F.col("doc_id").isNull(), none).otherwise(F.array_sort(F.concat(copies, F.coalesce("found", none))))
-    return rows.select("doc_id", "duration_ms", "fingerprint", matches.alias("matches"))
+    own = F.col("doc_id").isNotNull()
+    matches = F.when(own, F.array_sort(F.concat(copies, F.coalesce("found", none)))).otherwise(none)
+    of_class = [F.when(own, F.col(c)).alias(c) for c in ("first", "copies")]
+    return rows.select("doc_id", "duration_ms", "fingerprint", *of_class, F.when(F.col("asked"), matches).alias("matches"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and matches of every document's bytes as a recording."""
+    """Fingerprint and class of every document's bytes as a recording; the queries, those of a doc_id divisible by 100, with all their matches among all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("media"))
-    return match(fingerprint(docs, "media"))
+    return match(fingerprint(docs, "media"), F.col("doc_id") % 100 == 0)

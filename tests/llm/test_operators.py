@@ -503,6 +503,41 @@ def test_media_aligns_all_pairs(spark):
     assert out[3][2][0] == -10 and out[3][2][1] > 400 and out[5][4][0] == -20
 
 
+@pytest.mark.parametrize("items", [1 << 20, 300])
+def test_media_search_against_all_pairs(spark, monkeypatch, items):
+    """About 40 random excerpts with noise, in one block or many: the search gives what aligning every pair gives."""
+    monkeypatch.setattr(media, "QUERY_ITEMS", items)
+    monkeypatch.setattr(media, "BLOCK_ITEMS", items)
+    monkeypatch.setattr(media, "PORTION", 50)
+    r = np.random.default_rng(4)
+    base = [media.synthetic(40 + i, 6) for i in range(3)]
+    rows = []
+    for i in range(40):
+        x = base[i % 3]
+        a = int(r.integers(0, len(x) // 2)) // media.HOP * media.HOP
+        part = x[a : a + int(r.integers(4000, len(x) - a))]
+        rows.append((i, pcm(part + (r.normal(0, 0.005, len(part)) if i % 4 else 0))))
+    rows += [(50 + i, rows[i][1]) for i in (3, 8)]
+    prints = media.fingerprint(spark.createDataFrame(rows, "doc_id bigint, media binary"), "media")
+    got = {x.doc_id: x for x in media.match(prints, F.col("doc_id") % 2 == 0).collect()}
+    assert all((got[i].matches is None) == (i % 2 == 1) for i in got) and (got[53].first, got[53].copies, got[3].first) == (3, 2, 3)
+    fp = {i: np.array(x.fingerprint, np.int32) for i, x in got.items()}
+    links = 0
+    for q in (i for i in fp if i % 2 == 0 and i < 50):
+        want = {}
+        for o in (o for o in fp if o != q and o < 50):
+            if len(set(fp[q].tolist()) & set(fp[o].tolist())) >= media.SHARED and (m := media.align(fp[o], fp[q])):
+                want[o] = m[:3]
+        assert {m.doc_id: (m.offset, m.start, m.length) for m in got[q].matches} == want
+        links += len(want)
+    assert links > 100 and 8 in {m.doc_id for m in got[58].matches}
+    lists = list(fp.values())
+    flat, ptr = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    pairs = [p for i, j in media.candidates(flat, ptr, flat, ptr) for p in zip(i.tolist(), j.tolist())]
+    sets = [set(x.tolist()) for x in lists]
+    assert sorted(pairs) == [(i, j) for i in range(len(sets)) for j in range(len(sets)) if len(sets[i] & sets[j]) >= media.SHARED]
+
+
 def test_media_matches_short_recordings(spark):
     x = media.synthetic(9, 0.75)
     rows = [(1, pcm(x)), (2, pcm(x)), (3, pcm(x[:-media.HOP])), (4, pcm(x[:2000])), (5, pcm(x[:2000])), (6, pcm(media.synthetic(10, 0.75)))]
