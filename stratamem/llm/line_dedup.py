@@ -1,26 +1,29 @@
 """Line dedup by pairwise alignment.
 
 A line's identity is its sequence of words. For each line of a document the
-shortest run of lines from there on with at least MIN_WORDS words is an anchor,
-so any common block of that many words begins with an anchor that both
-documents have. Documents that share anchors are aligned with patience diff,
-and the aligned common blocks of at least MIN_WORDS words are deleted from the
-later document (the one of the greater doc_id).
+shortest runs of lines from there on, and up to there, with at least MIN_WORDS
+words are its anchors. The anchors inside a common block of that many words cover
+all its lines, and both documents have them. Documents that share anchors are
+aligned with patience diff, and the aligned common blocks of at least MIN_WORDS
+words are deleted from the later document (the one of the greater doc_id).
 
 An anchor that n documents share gives n - 1 pairs, each with the anchor's
 first holder: a rare one pairs just the documents that overlap, and a frequent
-one costs one alignment per document instead of n**2. That loses nothing, as one
-earlier holder is enough to delete a block, and no anchor is left out. After an
-alignment the lines it didn't delete are aligned again until nothing is found.
-A rising chain can miss a block in another order, so what anchors are then still
-shared are deleted with the longest blocks they begin, until none is left. The
-first holder of a block keeps it.
+one costs one alignment per document instead of n**2. That loses nothing, as each
+line of a block lies in an anchor, whose first holder is enough to delete it, and
+no anchor is left out. After an alignment the lines it didn't delete are aligned
+again until nothing is found. A rising chain can miss a block in another order, or
+a part of one that overlaps another; where a shared anchor isn't deleted whole,
+all common runs of MIN_WORDS words are deleted, as a suffix automaton finds them.
+So exactly the lines go that lie in a run of MIN_WORDS words that an earlier
+document holds too. The first holder of a block keeps it.
 
 Only fingerprints move in the search: line hashes are shuffled, texts once, to
 meet the lists of lines to delete.
 
 Defined results. NULL and empty texts stay as they are. Lines without a word
-are deleted only inside a block and don't part its anchors. Repeats within one document stay. Rows with
+are deleted only inside a block, or at its edge where they're aligned with it, and
+don't part its anchors. Repeats within one document stay. Rows with
 the same doc_id and text are one document and get the same result; rows with
 the same doc_id and other texts are ordered by a hash of the text. A NULL doc_id
 comes before all others. A document that loses all its lines has an empty text.
@@ -46,21 +49,25 @@ MIN_WORDS = 10
 
 
 def _anchors(ln: K.Lines, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the shortest run of at least ``min_words`` words from each line with words on, where the document has one."""
-    total = np.concatenate([[0], np.cumsum(ln.words)])
-    first = np.flatnonzero(ln.words > 0)
-    end = np.searchsorted(total, total[first] + min_words, "left")
-    last = np.repeat(ln.ptr[1:], np.diff(ln.ptr))[first]
-    inside = end <= last
-    first, end = first[inside], end[inside]
-    h = ln.hash[first].copy()
-    span = end - first
+    """(document, hash) of the shortest runs of at least ``min_words`` words from each line with words on, and up to each, where the document has one; sorted by document."""
+    worded = np.flatnonzero(ln.words > 0)
+    total = np.concatenate([[0], np.cumsum(ln.words[worded])])
+    ptr = np.searchsorted(worded, ln.ptr)
+    doc = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    i = np.arange(len(worded))
+    on_end = np.searchsorted(total, total[:-1] + min_words, "left")
+    on = on_end <= ptr[doc + 1]
+    up_start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    up = up_start >= ptr[doc]
+    first, end = np.concatenate([i[on], up_start[up]]), np.concatenate([on_end[on], i[up] + 1])
+    own = np.concatenate([doc[on], doc[up]])
+    order = np.argsort(own, kind="stable")
+    first, end, own = first[order], end[order], own[order]
+    h, span, lines = ln.hash[worded[first]].copy(), end - first, ln.hash[worded]
     for k in range(1, int(span.max()) if len(span) else 0):
         more = np.flatnonzero(span > k)
-        part = ln.hash[first[more] + k]
-        some = part != 0
-        h[more[some]] = K.mix(h[more[some]] * np.uint64(0x9E3779B97F4A7C15) + part[some])
-    return first, h
+        h[more] = K.mix(h[more] * np.uint64(0x9E3779B97F4A7C15) + lines[first[more] + k])
+    return own, h
 
 
 def _line_rows(min_words: int):
@@ -68,11 +75,11 @@ def _line_rows(min_words: int):
         for batch in batches:
             for t in K.chunks(batch.column("text")):
                 ln = K.lines(t)
-                at, h = _anchors(ln, min_words)
+                own, h = _anchors(ln, min_words)
                 yield pa.RecordBatch.from_pydict({
                     "id": batch.column("id").slice(t.first, t.n), "rid": batch.column("rid").slice(t.first, t.n),
                     "hashes": K.ragged(ln.hash.view(np.int64), ln.ptr, pa.int64()), "words": K.ragged(ln.words.astype(np.int32), ln.ptr, pa.int32()),
-                    "anchors": K.ragged(h.view(np.int64), np.searchsorted(at, ln.ptr), pa.int64()),
+                    "anchors": K.ragged(h.view(np.int64), np.searchsorted(own, np.arange(t.n + 1)), pa.int64()),
                 })
 
     return run
@@ -138,16 +145,19 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _windows(seq: list[int | None], size: dict[int, int], min_words: int) -> set[tuple[int, ...]]:
-    """The shortest runs of at least ``min_words`` words from each place of ``seq``; None parts runs."""
-    out = set()
-    for i in range(len(seq)):
-        n, end = 0, i
-        while n < min_words and end < len(seq) and seq[end] is not None:
+def _windows(seq: list[int], size: dict[int, int], min_words: int) -> dict[int, int]:
+    """Place -> end of the shortest run of at least ``min_words`` words from there; a line without a size parts runs."""
+    out, end, n = {}, 0, 0
+    for i, x in enumerate(seq):
+        if end < i:
+            end, n = i, 0
+        while n < min_words and end < len(seq) and seq[end] in size:
             n += size[seq[end]]
             end += 1
         if n >= min_words:
-            out.add(tuple(seq[i:end]))
+            out[i] = end
+        if end > i:
+            n -= size[x]
     return out
 
 
@@ -189,34 +199,37 @@ def _longest(a: list[int | None], b: list[int | None]) -> list[int]:
     return out
 
 
-def _left(a: list[int], b: list[int | None], words: list[int], min_words: int) -> list[int]:
-    """Lines of ``b`` in the blocks that anchors still shared with ``a`` begin, wherever they are in ``a``. None in ``b`` is a deleted line."""
+def _left(a: list[int], b: list[int], words: list[int], found: set[int], min_words: int) -> set[int]:
+    """Lines of ``b`` in runs of at least ``min_words`` words that ``a`` holds too, wherever, if ``found`` lacks some of a shared anchor's."""
     size = {x: n for x, n in zip(b, words) if x}
-    one = [x if x in size else None for x in a if x]
-    place = [j for j, x in enumerate(b) if x != 0]
-    two = [b[j] for j in place]
-    if _windows(one, size, min_words).isdisjoint(_windows(two, size, min_words)):
-        return []
-    runs, found, j = _longest(one, two), [], 0
-    while j < len(two):
-        end = j + runs[j]
-        if sum(size[x] for x in two[j:end]) >= min_words:
-            found += range(place[j], place[end - 1] + 1)
-            j = end
-        else:
-            j += 1
-    return found
+    place = [j for j, x in enumerate(b) if x]
+    one, two = [x for x in a if x], [b[j] for j in place]
+    for x, y, at in ((one, two, place), (one[::-1], two[::-1], place[::-1])):
+        held = {tuple(x[i:end]) for i, end in _windows(x, size, min_words).items()}
+        if any(tuple(y[i:end]) in held and not found.issuperset(at[i:end]) for i, end in _windows(y, size, min_words).items()):
+            break
+    else:
+        return set()
+    total = [0, *np.cumsum([size[x] for x in two]).tolist()]
+    out: set[int] = set()
+    done = 0
+    for j, n in enumerate(_longest([x if x in size else None for x in one], two)):
+        end = j + n
+        if end > done and total[end] - total[j] >= min_words:
+            out.update(range(place[j], place[end - 1] + 1))
+            done = end
+    return out
 
 
 def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Lines of ``b`` in common blocks with ``a`` of at least ``min_words`` words; ``b`` is aligned again without them until none is left, then searched for anchors that no alignment took."""
-    found: list[int] = []
-    b = list(b)
+    """Lines of ``b`` in common blocks with ``a`` of at least ``min_words`` words; ``b`` is aligned again without them until none is left, then searched for what no alignment took."""
+    found: set[int] = set()
+    masked: list[int | None] = list(b)
     while True:
         new: list[int] = []
         run: list[int] = []
         was = (-2, -2)
-        for i, j in [*patience(a, b), (-9, -9)]:
+        for i, j in [*patience(a, masked), (-9, -9)]:
             if (i, j) != (was[0] + 1, was[1] + 1):
                 if sum(words[k] for k in run) >= min_words:
                     new += run
@@ -224,40 +237,39 @@ def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int)
             run.append(j)
             was = (i, j)
         if not new:
-            return found + _left(a, b, words, min_words)
-        found += new
+            return sorted(found | _left(a, b, words, found, min_words))
+        found.update(new)
         for j in new:
-            b[j] = None
+            masked[j] = None
 
 
 def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, keep, source = [], [], []
-            for r, hashes, words, partners in zip(*(batch.column(c) for c in ("rid", "hashes", "words", "partners"))):
-                b, n = hashes.values.to_numpy().tolist(), words.values.to_numpy().tolist()
-                kept, by = np.ones(len(b), bool), []
-                for p in partners.values:
-                    gone = common_blocks(p["hashes"].values.to_numpy().tolist(), b, n, min_words)
-                    if gone:
-                        kept[gone] = False
-                        by.append(p["id"].as_py())
-                if by:
-                    rid.append(r.as_py())
-                    keep.append(kept)
-                    source.append(by)
-            kind = batch.schema.field("partners").type.value_type.field("id").type
+            gone = [common_blocks(*(row[c] for c in ("other", "hashes", "words")), min_words) for row in batch.select(["other", "hashes", "words"]).to_pylist()]
+            ptr = np.concatenate([[0], np.cumsum([len(g) for g in gone])]).astype(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "rid": pa.array(rid, pa.int64()),
-                "keep": K.ragged(np.concatenate(keep) if keep else np.zeros(0, bool), np.concatenate([[0], np.cumsum([len(k) for k in keep])]).astype(np.int64), pa.bool_()),
-                "found_in": pa.array(source, pa.list_(kind)),
+                "rid": batch.column("rid"), "id": batch.column("id"), "lines": pa.array([len(h) for h in batch.column("hashes")], pa.int32()),
+                "gone": K.ragged(np.array([j for g in gone for j in g], np.int32), ptr, pa.int32()),
             })
 
     return run
 
 
+def _flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ptr = np.concatenate([[0], np.cumsum(np.asarray(batch.column("lines")), dtype=np.int64)])
+        keep = np.ones(int(ptr[-1]), bool)
+        gone = batch.column("gone")
+        keep[np.repeat(ptr[:-1], np.asarray(gone.value_lengths())) + np.asarray(gone.flatten())] = False
+        yield pa.RecordBatch.from_pydict({"rid": batch.column("rid"), "keep": K.ragged(keep, ptr, pa.bool_()), "found_in": batch.column("found_in")})
+
+
 def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(rid, keep, found_in) of each document that loses lines: a flag per line, and the doc_ids of the earlier holders. rid is xxhash64(doc_id, text)."""
+    """(rid, keep, found_in) of each document that loses lines: a flag per line, and the doc_ids of the earlier holders. rid is xxhash64(doc_id, text).
+
+    A pair to align is a row of its own, so a document that shares lines with many others fills no task.
+    """
     arrow_safe(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("rid", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("anchors", T.ArrayType(T.LongType()))])
@@ -267,11 +279,16 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     who = F.struct("id", "rid")
     led = held.groupBy("anchor").agg(F.min(who).alias("lead"), F.max(who).alias("last")).filter("lead != last").select("anchor", "lead")
     pairs = held.join(led, "anchor").filter(F.col("lead") != who).select(F.col("lead.rid").alias("first"), "rid").distinct()
-    lead = rows.select(F.col("rid").alias("first"), "id", F.col("hashes")).dropDuplicates(["first"])
-    partners = pairs.join(lead, "first").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("id", "first", "hashes"))).alias("partners"))
+    lead = rows.select(F.col("rid").alias("first"), "id", F.col("hashes").alias("other")).dropDuplicates(["first"])
     own = rows.select("rid", "hashes", "words").dropDuplicates(["rid"])
-    out = T.StructType([T.StructField("rid", T.LongType()), T.StructField("keep", T.ArrayType(T.BooleanType())), T.StructField("found_in", T.ArrayType(kind))])
-    return own.join(partners, "rid").mapInArrow(_align(min_words), out)
+    out = T.StructType([T.StructField("rid", T.LongType()), T.StructField("id", kind), T.StructField("lines", T.IntegerType()), T.StructField("gone", T.ArrayType(T.IntegerType()))])
+    aligned = saved(pairs.join(lead, "first").join(own, "rid").select("rid", "id", "other", "hashes", "words").mapInArrow(_align(min_words), out).filter("size(gone) > 0"), "blocks")
+    lines = aligned.select("rid", F.explode("gone").alias("line")).groupBy("rid").agg(F.collect_set("line").alias("gone"))
+    by = aligned.groupBy("rid").agg(F.first("lines").alias("lines"), F.array_sort(F.collect_set("id")).alias("found_in"), F.count("id").alias("named"), F.count("*").alias("n"))
+    # collect_set leaves out a NULL doc_id, which comes before all others
+    by = by.withColumn("found_in", F.when(F.col("named") < F.col("n"), F.concat(F.array(F.lit(None).cast(kind)), "found_in")).otherwise(F.col("found_in"))).select("rid", "lines", "found_in")
+    final = T.StructType([T.StructField("rid", T.LongType()), T.StructField("keep", T.ArrayType(T.BooleanType())), T.StructField("found_in", T.ArrayType(kind))])
+    return by.join(lines, "rid").mapInArrow(_flags, final)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None, found_in: str | None = None) -> DataFrame:

@@ -316,6 +316,30 @@ def test_line_dedup_leaves_no_shared_anchor(spark):
         assert not any("-" not in x and x in whole for x in runs)
 
 
+def common_lines(a, b, least):
+    """Lines of ``b`` in runs of ``least`` words that ``a`` holds too, lines without words being passed over; by trying all runs."""
+    worded = lambda x: any(map(str.isalnum, x))
+    one = [tuple(x.split()) for x in a if worded(x)]
+    at = [j for j, x in enumerate(b) if worded(x)]
+    two = [tuple(b[j].split()) for j in at]
+    runs = {tuple(one[i:e]) for i in range(len(one)) for e in range(i + 1, len(one) + 1)}
+    return {k for i in range(len(two)) for e in range(i + 1, len(two) + 1) if sum(map(len, two[i:e])) >= least and tuple(two[i:e]) in runs for k in range(at[i], at[e - 1] + 1)}
+
+
+def test_line_dedup_against_all_earlier_documents(spark):
+    """Few, short lines, so that blocks overlap, change order and have tails: what goes is what all earlier documents hold."""
+    r = random.Random(12)
+    kinds = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((1, 2, 3, 3, 4, 5, 6, 7, 10, 12))] + ["", "--"]
+    docs = [[r.choice(kinds) for _ in range(r.randint(1, 9))] for _ in range(160)]
+    docs += [[kinds[8]], [kinds[8], kinds[2]], [kinds[8], kinds[2]]]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(frame(spark, ["\n".join(d) for d in docs])).collect()}
+    for i, d in enumerate(docs):
+        gone = set().union(*(common_lines(o, d, line_dedup.MIN_WORDS) for o in docs[:i])) if i else set()
+        # lines without words at a block's edge may go with it
+        assert [x for x in got[i].split("\n") if any(map(str.isalnum, x))] == [x for j, x in enumerate(d) if j not in gone and any(map(str.isalnum, x))], i
+    assert got[162] == ""
+
+
 def test_patience_finds_common_subsequences():
     r = random.Random(4)
     for _ in range(50):
