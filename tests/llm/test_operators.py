@@ -40,7 +40,7 @@ ODD = [None, "", " ", "\n\n", "ü", "a b c", "x" * 200_000, "a b c", ("word " *
 def weighted_jaccard(a, b, table):
     def bag(text):
         _, h, n = near_dedup.terms(next(K.chunks(pa.array([text]))))
-        return dict(zip(h.tolist(), (n * table[near_dedup.bucket(h)]).tolist()))
+        return dict(zip(h.tolist(), (n * near_dedup.idf(table, h)).tolist()))
 
     x, y = bag(a), bag(b)
     keys = x.keys() | y.keys()
@@ -82,6 +82,49 @@ def test_near_dedup_special_cases(spark):
     assert [r.text for r in near_dedup.drop_near_duplicates(twice).collect()] == ["e f g h"]
 
 
+def test_near_dedup_of_very_long_repeated_texts(spark):
+    """A shingle of every document, and more shingles than counters: no weight is below 1."""
+    text = " ".join(f"w{i}" for i in range(200_000))
+    docs = frame(spark, [text] * 10, extra=False)
+    table = near_dedup.idf_table(docs.select("doc_id", "text"))
+    assert float(table.min()) >= 1
+    assert sorted((r.doc_id, r.kept_id) for r in near_dedup.near_duplicates(docs).collect()) == [(i, 0) for i in range(1, 10)]
+
+
+def test_near_dedup_frequencies_are_nearly_exact(spark):
+    """More distinct shingles than counters, and one in all documents: the first are taken as rare, the second as frequent."""
+    texts = [f"common phrase here w{i} " + " ".join(f"x{i}y{k}" for k in range(3000)) for i in range(500)]
+    table = near_dedup.idf_table(frame(spark, texts, extra=False).select("doc_id", "text"))
+    _, h, _ = near_dedup.terms(next(K.chunks(pa.array([texts[7]]))))
+    found = near_dedup.idf(table, h)
+    assert found.min() < 1.05 and abs(np.median(found) - (np.log(501 / 2) + 1)) < 0.3
+
+
+def test_near_dedup_buckets_of_several_groups(spark, monkeypatch):
+    """With short bands many documents of different groups share buckets, so later leads and pairs decide; the groups are those of all pairs."""
+    monkeypatch.setattr(near_dedup, "LEADS", 2)
+    r = random.Random(2)
+    common, texts = prose(60, 77).split(), []
+    for g in range(6):
+        own = prose(50, 100 + g).split()
+        for _ in range(6):
+            words = common + own
+            for _ in range(12):
+                words[r.randrange(len(words))] = r.choice(WORDS)
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    docs = frame(spark, texts, extra=False)
+    table = near_dedup.idf_table(docs.select("doc_id", "text"))
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if weighted_jaccard(texts[i], texts[j], table) >= near_dedup.THRESHOLD and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if x == old else x for x in group]
+    got = {x.doc_id: x.kept_id for x in near_dedup.near_duplicates(docs).collect()}
+    assert got == {i: g for i, g in enumerate(group) if g != i}
+
+
 # 2
 
 
