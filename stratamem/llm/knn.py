@@ -5,14 +5,17 @@ the distances of the rows nearest to the pivot) follows, for each cell of
 queries, a bound on how far its k-th neighbour can be; the triangle inequality
 then tells which rows of another cell can matter. Cells are put together into
 groups of queries, each row of data is replicated to just the groups whose
-bounds it meets, and every group is solved by itself, in blocks of bounded
-size, whose results are merged. Every row is a query.
+bounds it meets, and every group is solved by itself, in blocks of queries and
+of data, whose results are merged. ``queries`` tells which rows are queries,
+by default all; the registered search asks for every id divisible by 100.
 
 What reaches the driver and the executors as a whole are the pivots and the
 summaries: at most MOST_PIVOTS x MOST_PIVOTS bounds, whatever the number of rows.
-Groups and blocks have bounded numbers of rows, so memory doesn't grow either;
-where the data can't be pruned (high dimensions), replication grows with the
-number of groups, as any exact search must.
+Beyond some 4 x MOST_PIVOTS squared rows, cells grow instead of getting more,
+which prunes less but leaves nothing out: groups beyond GROUP_ROWS queries are
+solved in several blocks of them, and data in blocks of BLOCK_ROWS, so a task's
+memory doesn't grow. Where the data can't be pruned (high dimensions),
+replication grows with the number of groups, as any exact search must.
 
 Defined results. Distances are Euclidean, in double precision, rounded to 6
 decimals; ties go to the lesser id. A row isn't a neighbour of its own id. Rows
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +71,10 @@ def _clean(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 class _Plan:
-    """Groups of cells, and for each (group, cell) the distances from the pivot that rows to replicate have."""
+    """Groups of cells, and for each (group, cell) the distances from the pivot that rows to replicate have.
+
+    ``count`` and ``radius`` are of the queries of each cell, ``nearest`` the least distances of all rows.
+    """
 
     def __init__(self, pivots: np.ndarray, count: np.ndarray, radius: np.ndarray, nearest: list[list[float]], k: int) -> None:
         m = len(pivots)
@@ -90,6 +96,7 @@ class _Plan:
             bound[i] = reach[k] if len(reach) > k else np.inf
         self.group = self._groups(between, count)
         groups = self.group.max() + 1
+        self.rows = np.bincount(self.group, count, groups).astype(np.int64)
         low, high = np.full((groups, m), np.inf), np.full((groups, m), -np.inf)
         for i in range(m):
             if count[i]:
@@ -101,7 +108,7 @@ class _Plan:
 
     @staticmethod
     def _groups(between: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Neighbouring cells of together about GROUP_ROWS rows; each group starts at the free cell farthest from the last start."""
+        """Neighbouring cells of together about GROUP_ROWS queries; each group starts at the free cell farthest from the last start."""
         m = len(count)
         group, free, g, at = np.full(m, -1), np.ones(m, bool), 0, 0
         while free.any():
@@ -146,15 +153,20 @@ def _solve(k: int):
     return run
 
 
-def knn_join(df: DataFrame, k: int = K_NEIGHBOURS, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, neighbor_id, rank, distance): the k nearest other rows of every row. Ids are numbers."""
+def knn_join(df: DataFrame, k: int = K_NEIGHBOURS, id_col: str = "vec_id", vector: str = "embedding", queries: Column | None = None) -> DataFrame:
+    """(query_id, neighbor_id, rank, distance): the k nearest other rows of every row that meets ``queries``. Ids are numbers.
+
+    ``queries`` is a condition on ``id_col``; by default all rows are queries, and rows for which it is NULL are none.
+    """
     spark = df.sparkSession
     arrow_safe(spark)
     kind = df.schema[id_col].dataType
-    rows = saved(_clean(df, id_col, vector), "vectors")
-    n = rows.count()
+    asked = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    rows = _clean(df, id_col, vector).withColumnRenamed("id", id_col)
+    rows = saved(rows.select(F.col(id_col).alias("id"), "v", asked.alias("q")), "vectors")
+    n, total = rows.agg(F.count("*"), F.count_if("q")).first()
     out = T.StructType([T.StructField("query_id", kind), T.StructField("neighbor_id", kind), T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    if n < 2:
+    if n < 2 or not total:
         return spark.createDataFrame([], out)
     m = int(max(1, min(MOST_PIVOTS, n**0.5 / 2)))
     pivots = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(m).collect()])
@@ -168,13 +180,13 @@ def knn_join(df: DataFrame, k: int = K_NEIGHBOURS, id_col: str = "vec_id", vecto
             v = _matrix(batch.column("v"))
             cell = _squares(v, p).argmin(1)
             far = np.sqrt(((v - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": batch.column("v"), "cell": pa.array(cell.astype(np.int32)), "far": pa.array(far)})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "v": batch.column("v"), "q": batch.column("q"), "cell": pa.array(cell.astype(np.int32)), "far": pa.array(far)})
 
     fields = [T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType()))]
-    placed = saved(rows.mapInArrow(assign, T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])), "cells")
+    placed = saved(rows.mapInArrow(assign, T.StructType([*fields, T.StructField("q", T.BooleanType()), T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])), "cells")
     count, radius = np.zeros(m, np.int64), np.zeros(m)
     nearest: list[list[float]] = [[] for _ in range(m)]
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():
+    for r in placed.filter("q").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():
         count[r.cell], radius[r.cell] = r.n, r.radius
     by_distance = Window.partitionBy("cell").orderBy("far", "id")
     for r in placed.select("cell", "far", F.row_number().over(by_distance).alias("nth")).filter(F.col("nth") <= k + 1).collect():
@@ -199,25 +211,28 @@ def knn_join(df: DataFrame, k: int = K_NEIGHBOURS, id_col: str = "vec_id", vecto
         yield pa.RecordBatch.from_pydict({"g": pa.array(np.arange(p.groups, dtype=np.int32)), "n": pa.array(total)})
 
     sizes = {r.g: r.n for r in placed.select("cell", "far").mapInArrow(needed, "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect()}
-    parts = {g: max(1, -(-size // BLOCK_ROWS)) for g, size in sizes.items()}
     # one row per group, at most MOST_PIVOTS
-    blocks = F.broadcast(spark.createDataFrame(list(parts.items()), "g int, blocks int"))
+    parts = [(g, max(1, -(-size // BLOCK_ROWS)), max(1, -(-int(plan.value.rows[g]) // GROUP_ROWS))) for g, size in sizes.items()]
+    blocks = F.broadcast(spark.createDataFrame(parts, "g int, blocks int, lots int"))
     of_cell = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(plan.value.group)], "cell int, g int"))
-    data = placed.mapInArrow(replicate, T.StructType([*fields, T.StructField("g", T.IntegerType())])).join(blocks, "g").select("id", "v", "g", F.expr("int(pmod(xxhash64(id), blocks))").alias("b"))
-    queries = placed.join(of_cell, "cell").join(blocks, "g").select("id", "v", "g", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"))
-    found = queries.groupBy("g", "b").cogroup(data.groupBy("g", "b")).applyInArrow(_solve(k), T.StructType([f for f in out.fields if f.name != "rank"]))
+    part = lambda count: F.expr(f"int(pmod(xxhash64(id), {count}))")
+    each = lambda count: F.explode(F.expr(f"sequence(0, {count} - 1)"))
+    data = placed.mapInArrow(replicate, T.StructType([*fields, T.StructField("g", T.IntegerType())])).join(blocks, "g").select("id", "v", "g", part("blocks").alias("b"), each("lots").alias("lot"))
+    asking = placed.filter("q").join(of_cell, "cell").join(blocks, "g").select("id", "v", "g", each("blocks").alias("b"), part("lots").alias("lot"))
+    key = ["g", "b", "lot"]
+    found = asking.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(_solve(k), T.StructType([f for f in out.fields if f.name != "rank"]))
     best = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(*out.fieldNames())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest other vectors of every embedding."""
-    return knn_join(read(spark, sf_dir, "embeddings"))
+    """The ten nearest other vectors of every embedding whose id is divisible by 100, among all embeddings."""
+    return knn_join(read(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
 
 
 SQL = f"""
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, neighbor_id, rank, distance FROM r WHERE rank <= {K_NEIGHBOURS}
 """
