@@ -255,7 +255,8 @@ def _pieces_of(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iter
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_ids") -> DataFrame:
-    """``docs`` with the token ids of ``text`` in the new column ``ids``."""
+    """``docs`` with the token ids of ``text`` in the new column ``ids``, or the next free name (token_ids1, ...) if there is such a column."""
+    ids = fresh(docs, ids)
     arrow_safe(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_ids"
 
 
 def decode(df: DataFrame, vocabulary: str = VOCABULARY, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text of the id lists ``ids`` in the new column ``text``."""
+    """``df`` with the text of the id lists ``ids`` in the new column ``text``, or the next free name (decoded1, ...) if there is such a column."""
+    text = fresh(df, text)
     arrow_safe(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

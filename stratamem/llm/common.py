@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"stratamem-{os.getpid()}")
         os.makedirs(path, exist_ok=True)
         sc.setCheckpointDir(path)

@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | N
 
 
 def score(docs: DataFrame, model: Trees | None, name: str = "quality_score") -> DataFrame:
-    """``docs`` with its quality score from 0 to 1 in the new column ``name``."""
+    """``docs`` with its quality score from 0 to 1 in the new column ``name``, or the next free name (quality_score1, ...) if there is such a column."""
+    name = fresh(docs, name)
     spark = docs.sparkSession
     arrow_safe(spark)
     shared = spark.sparkContext.broadcast(model)

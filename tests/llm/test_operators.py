@@ -2,6 +2,8 @@
 
 import random
 import zlib
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -307,11 +309,27 @@ def test_knn_join_against_all_pairs(spark):
     assert all([j for j, _ in got[i]] == [j for j, _ in want[i]] for i in want)
 
 
+def test_knn_join_in_many_groups_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "GROUP_ROWS", 60)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
+    g = np.random.default_rng(7)
+    # one cell holds a third of the rows, many of them equal
+    x = np.concatenate([g.normal(c % 5, 0.2 + c % 3, (50, 4)) for c in range(8)] + [np.repeat(g.normal(9, 0.01, (20, 4)), 10, 0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    want = brute_knn(range(len(x)), x, 6)
+    for asked in (None, F.col("vec_id") % 3 == 0):
+        got = {}
+        for r in knn.knn_join(df, 6, queries=asked).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.neighbor_id, r.distance))
+        assert got == {i: w for i, w in want.items() if asked is None or i % 3 == 0}
+
+
 def test_knn_join_special_cases(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [0.0, 9.0]), (3, None), (None, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = {(r.query_id, r.neighbor_id, r.rank, r.distance) for r in knn.knn_join(df, 10).collect()}
     assert got == {(1, 2, 1, 9.0), (2, 1, 1, 9.0)}
+    assert knn.knn_join(df, queries=F.col("vec_id") == 99).count() == 0
     assert knn.knn_join(df.limit(0)).count() == 0 and knn.knn_join(df.filter("vec_id = 1")).count() == 0
 
 
@@ -621,26 +639,31 @@ def brute_mix(rows, weights, size):
     sizes = {}
     for _, s in rows:
         sizes[s] = sizes.get(s, 0) + 1
-    each = mixing.expected(sizes, weights, size)
+    wanted = {s: Fraction(1) if weights is None else Fraction(weights.get(s) or 0) for s in sizes}
+    each = {s: w / sum(wanted.values()) * (len(rows) if size is None else size) / sizes[s] for s, w in wanted.items()}
     out, total = {}, {}
     for i, s in sorted(rows):
         a = total.get(s, 0)
-        b = total[s] = a + each.get(s, 0)
-        o = mixing.offset()
-        out[i] = (b + o) // mixing.UNIT - (a + o) // mixing.UNIT
+        b = total[s] = a + each[s]
+        o = Fraction(mixing.offset(), mixing.UNIT)
+        out[i] = floor(b + o) - floor(a + o)
     return {i: n for i, n in out.items() if n}
 
 
 def test_mixing_against_prefix_sums(spark):
     sources = ["a"] * 50 + ["b"] * 7 + ["c"] * 3
     docs = frame(spark, [prose(3, i) for i in range(60)], sources=sources)
-    for weights, size in ((None, None), ({"a": 1, "b": 2.5}, 100), ({"a": 0, "b": None, "c": 1}, 10)):
+    for weights, size in ((None, None), ({"a": 1, "b": 2.5}, 100), ({"a": 0, "b": None, "c": 1}, 10), ({"a": 1, "c": 100_000}, 1_450_000)):
         got = {r.doc_id: r["count"] for r in mixing.sample(docs, weights, size, copy_no="k").groupBy("doc_id").count().collect()}
         assert got == brute_mix(list(enumerate(sources)), weights, size)
 
 
 def test_mixing_special_cases(spark):
     docs = frame(spark, [*ODD, "same", "same"], ids=[*range(7), None, None, 30, 30], sources=[None, "a", "a", None, "b", "b", "b", "b", "b", "b", "b"])
+    assert mixing.sample(docs.withColumn("copy_no", F.lit("x"))).columns == [*docs.columns, "copy_no", "copy_no1"]
+    assert mixing.targets(["a", "b"], {"a": float("nan"), "b": 3, "c": 1}, 7) == {"b": 7 * mixing.UNIT}
+    # 14.5 of 1,450,014.5 rows: rounded expected copies of each row would lose the source's share
+    assert mixing.targets(["a", "b"], {"a": 1, "b": 100_000}, 145_001_450)["a"] == 1450 * mixing.UNIT
     out = mixing.sample(docs, copy_no="k")
     assert out.columns == [*docs.columns, "k"]
     counts = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
