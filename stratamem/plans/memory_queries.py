@@ -89,13 +89,13 @@ def belief_stability(spark, d):
     return s.select("label", F.round("stability", 6).alias("stability"), F.round("average_age_days", 6).alias("average_age_days"))
 
 
-@query("belief_friction", f"WITH {_FRICTION} SELECT label, contradictions, invalidations, round(friction, 6) AS friction FROM frictions")
+@query("belief_friction", f"WITH {_FRICTION} SELECT label, contradictions, invalidations, round(CAST(friction AS DOUBLE), 6) AS friction FROM frictions")
 def belief_friction(spark, d):
     members = _members(spark, d).withColumn("id", F.col("vec_id").cast("string"))
     return scoring.friction(members, _challenges(spark, d), "label", "id").withColumn("friction", F.round("friction", 6))
 
 
-@query("belief_state", f"WITH {_BELIEF}, {_STABLE}, {_FRICTION}, b AS (SELECT label, n, round(consensus, 6) AS consensus, round(stability, 6) AS stability, round(friction, 6) AS friction, round(greatest(0, least(1, 0.4 * consensus + 0.3 * stability + 0.3 * friction)), 6) AS confidence, contradictions + invalidations AS f FROM consensus JOIN stability USING (label) JOIN frictions USING (label)) SELECT label, n, consensus, stability, friction, confidence, CASE WHEN f > 0 AND confidence < 0.85 THEN 'contested' WHEN confidence >= 0.85 THEN 'crystallized' WHEN confidence <= 0.40 THEN 'volatile' ELSE 'stable' END AS state FROM b")
+@query("belief_state", f"WITH {_BELIEF}, {_STABLE}, {_FRICTION}, b AS (SELECT label, n, round(consensus, 6) AS consensus, round(stability, 6) AS stability, round(CAST(friction AS DOUBLE), 6) AS friction, round(greatest(0, least(1, 0.4 * consensus + 0.3 * stability + 0.3 * friction)), 6) AS confidence, contradictions + invalidations AS f FROM consensus JOIN stability USING (label) JOIN frictions USING (label)) SELECT label, n, consensus, stability, friction, confidence, CASE WHEN f > 0 AND confidence < 0.85 THEN 'contested' WHEN confidence >= 0.85 THEN 'crystallized' WHEN confidence <= 0.40 THEN 'volatile' ELSE 'stable' END AS state FROM b")
 def belief_state(spark, d):
     members = _members(spark, d).withColumn("vec_id", F.col("vec_id").cast("string"))
     return scoring.belief(members, _challenges(spark, d), "label", NOW, model="ebbinghaus")
@@ -283,7 +283,7 @@ def artifact_diff(spark, d):
     return compiler.diff(_history(spark, d), 1, 2)
 
 
-@query("artifact_staleness", f"WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, count(*) AS n FROM events WHERE epoch_us(ts) / 1e6 > {NOW - 5 * DAY} GROUP BY user_id) SELECT 'card' AS artifact, user_id AS entity, coalesce(n, 0) AS events, round(0.3 * coalesce(n, 0) + 6, 6) AS staleness, 0.3 * coalesce(n, 0) + 6 >= 6.5 AS stale FROM u LEFT JOIN n USING (user_id)")
+@query("artifact_staleness", f"WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, count(*) AS n FROM events WHERE epoch_us(ts) / 1e6 > {NOW - 5 * DAY} GROUP BY user_id) SELECT 'card' AS artifact, user_id AS entity, coalesce(n, 0) AS events, round(CAST(0.3 * coalesce(n, 0) + 6 AS DOUBLE), 6) AS staleness, 0.3 * coalesce(n, 0) + 6 >= 6.5 AS stale FROM u LEFT JOIN n USING (user_id)")
 def artifact_staleness(spark, d):
     """A card of each user, made five days ago, and the events since."""
     e = read(spark, d, "events")
