@@ -30,7 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"stratamem-{os.getpid()}")
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = given or os.path.join(tempfile.gettempdir(), f"stratamem-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 

@@ -23,10 +23,10 @@ def graph_explore(spark, d):
     return insight.explore(nodes, edges(spark, d), 10).withColumn("neighbours", F.array_join("neighbours", ","))
 
 
-@query("graph_invalidate", f"SELECT 'system' AS source, 'supplier:' || s_suppkey AS target, 'invalidates' AS rel, CAST({NOW} AS BIGINT) AS created_at FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'supplier:' || s_suppkey, 'system', 'invalidated_by', {NOW} FROM supplier WHERE s_acctbal < 0")
+@query("graph_invalidate", f"WITH {EDGES_SQL} SELECT source, target, rel, created_at FROM edges UNION ALL SELECT 'system' AS source, 'supplier:' || s_suppkey AS target, 'invalidates' AS rel, CAST({NOW} AS BIGINT) AS created_at FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'supplier:' || s_suppkey, 'system', 'invalidated_by', {NOW} FROM supplier WHERE s_acctbal < 0")
 def graph_invalidate(spark, d):
     gone = read(spark, d, "supplier").filter("s_acctbal < 0").select(node_id("supplier", "s_suppkey").alias("id"))
-    return insight.invalidate(edges(spark, d).limit(0), gone, NOW).select("source", "target", "rel", "created_at")
+    return insight.invalidate(edges(spark, d), gone, NOW).select("source", "target", "rel", "created_at")
 
 
 @query("provenance_path", "WITH c AS (SELECT doc_id, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents WHERE length(text) > 0) SELECT doc_id || '_' || i AS chunk, 'doc:' || doc_id AS doc, true AS verified FROM c UNION ALL SELECT 'x' || doc_id, 'doc:' || doc_id, false FROM documents")
