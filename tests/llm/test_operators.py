@@ -4,6 +4,7 @@ import random
 import zlib
 from fractions import Fraction
 from math import floor
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,18 @@ def test_near_dedup_buckets_of_several_groups(spark, monkeypatch):
     assert got == {i: g for i, g in enumerate(group) if g != i}
 
 
+def test_near_dedup_workers_give_memory_back(monkeypatch):
+    """After its last batch each kernel has Arrow's pool released, once: idle workers share the executor's memory with the joins."""
+    released = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: released.append(1)))
+    table = SimpleNamespace(value=np.ones((near_dedup.SKETCHES, near_dedup.DF_BUCKETS), np.float32))
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c", "d e f"]})
+    pairs = pa.RecordBatch.from_pydict({"a": [1], "b": [2], "text_a": ["a b c"], "text_b": ["a b c"]})
+    for kernel, batch in ((near_dedup._count_slices, docs), (near_dedup._signer(table), docs), (near_dedup._verifier(table), pairs)):
+        released.clear()
+        assert sum(b.num_rows for b in kernel(iter([batch]))) and released == [1]
+
+
 # 2
 
 
