@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamem.catalog import cut, small
 from stratamem.operators import vectors
 
 MONTH = 30 * 86_400.0
@@ -66,23 +68,37 @@ def search_with_scores(nodes: DataFrame, query: list[float], k: int, half_life:
 
 
 def consensus(members: DataFrame, by: str, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """(by, n, variance, consensus): 1 - the mean squared distance to the group's centroid over the squared largest distance of a pair, at most 1.
-
-    Every pair of a group is compared, so groups are meant to be small (a
-    search's results, at most 50).
-    """
+    """(by, n, variance, consensus): 1 - the mean squared distance to the group's centroid over the squared largest distance of a pair, at most 1."""
     rows = members.select(by, F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     middle = vectors.centroid(rows, [by], "v").select(by, "centroid", F.col("members").alias("n"))
-    spread = rows.join(middle, by).withColumn("d", vectors.belief_distance(F.col("v"), F.col("centroid")))
-    spread = spread.groupBy(by).agg(F.first("n").alias("n"), F.avg(F.col("d") * F.col("d")).alias("variance"))
-    a, b = rows.alias("a"), rows.alias("b")
-    widest = a.join(b, F.expr(f"a.{by} = b.{by} and a.id < b.id")).select(F.col(f"a.{by}").alias(by), vectors.belief_distance(F.col("a.v"), F.col("b.v")).alias("d")).groupBy(by).agg(F.max("d").alias("widest"))
-    both = spread.join(widest, by, "left")
+    placed = rows.join(small(middle), by).withColumn("d", vectors.belief_distance(F.col("v"), F.col("centroid"))).drop("centroid")
+    farthest = F.max_by(F.struct("id", "v"), F.when(F.col("id").isNotNull() & F.col("v").isNotNull(), F.col("d"))).alias("far")
+    spread = cut(placed.groupBy(by).agg(F.first("n").alias("n"), F.avg(F.col("d") * F.col("d")).alias("variance"), F.max("d").alias("most"), farthest))
+    both = spread.drop("most", "far").join(_widest(placed, spread, by), by, "left")
     square = F.col("widest") * F.col("widest")
     one = F.col("widest").isNull() | (F.col("widest") < 1e-10)
     return both.select(by, "n", F.when(one, 0.0).otherwise(F.col("variance")).alias("variance"), F.when(one, 1.0).otherwise(1 - F.least(F.col("variance") / square, F.lit(1.0))).alias("consensus"))
 
 
+def _widest(placed: DataFrame, spread: DataFrame, by: str) -> DataFrame:
+    """(by, widest): the largest belief distance of two members of each group, exactly; none for a group without pairs.
+
+    No distance exceeds 1, so where the member farthest from the centroid is 1
+    away from another the group is done. In others, as angles to the centroid
+    add up, members too near to it to be in a wider pair are left out, and the
+    rest is compared in pairs of blocks.
+    """
+    tip = spread.filter("far is not null").select(by, "far", "most")
+    d = vectors.belief_distance(F.col("v"), F.col("far.v"))
+    first = cut(placed.join(small(tip), by).filter("id != far.id").groupBy(by).agg(F.max(d).alias("widest"), F.first("most").alias("most")))
+    angle = lambda x: F.when(x >= 1, math.pi).otherwise(F.acos(1 - x))
+    open_ = first.filter("widest < 1")
+    if not open_.limit(1).count():
+        return first.drop("most")
+    left = placed.join(small(open_), by).filter((angle(F.col("d")) + angle(F.col("most"))) >= angle(F.col("widest")) - 1e-6)
+    return first.drop("most").unionByName(vectors.widest(left, by)).groupBy(by).agg(F.max("widest").alias("widest"))
+
+
 def stability(members: DataFrame, by: str, now: float, created: str = "created_at", accesses: str = "access_count", model: str = "exponential") -> DataFrame:
     """(by, stability, average_age_days): mean decay with a half-life of 30 days."""
     age = F.lit(float(now)) - F.col(created)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +125,62 @@ def knn_batch(queries: DataFrame, data: DataFrame, k: int, metric: str = "cosine
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
 
 
+def _finite(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a table (id, v) whose vectors are of one length, without those that have a component that's no number."""
+    ids = np.asarray(t.column("id").combine_chunks())
+    v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    good = np.isfinite(v).all(1)
+    ids, v = ids[good], v[good]
+    scale = np.linalg.norm(v, axis=1)[:, None]
+    return ids, np.divide(v, scale, out=np.zeros_like(v), where=scale > 0)
+
+
+def _widest_of_blocks(by: str):
+    def parts(t: pa.Table) -> dict[int, pa.Table]:
+        size = np.asarray(pc.list_value_length(t.column("v").combine_chunks()))
+        return {int(s): t.filter(pa.array(size == s)) for s in np.unique(size)}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        most = None
+        for m, x in parts(left).items() if left.num_rows and right.num_rows else ():
+            for n, y in parts(right).items():
+                if m != n:
+                    ids = [np.asarray(t.column("id").combine_chunks()) for t in (x, y)]
+                    if (ids[0] != ids[0][0]).any() or (ids[1] != ids[0][0]).any():
+                        most = 1.0
+                    continue
+                (a, p), (b, q) = _finite(x), _finite(y)
+                order = np.argsort(b, kind="stable")
+                b, q = b[order], q[order]
+                for i in range(0, len(a) if len(b) else 0, 256):
+                    cos = p[i : i + 256] @ q.T
+                    # pairs of one id don't count
+                    lo, hi = np.searchsorted(b, a[i : i + 256]), np.searchsorted(b, a[i : i + 256], "right")
+                    for r in np.nonzero(hi > lo)[0]:
+                        cos[r, lo[r] : hi[r]] = np.inf
+                    least = cos.min()
+                    if least < np.inf:
+                        most = max(most or 0.0, 1 - max(0.0, min(1.0, least)))
+        kept = left.column(by)[:1] if most is not None else left.column(by)[:0]
+        return pa.table({by: kept, "widest": pa.array([most] if most is not None else [], pa.float64())})
+
+    return run
+
+
+def widest(rows: DataFrame, by: str) -> DataFrame:
+    """(by, widest): the largest belief distance of two rows (by, id, v) of a group with different ids, by pairs of hash blocks; none where there's no pair."""
+    rows = rows.select(by, "id", "v").filter(F.col(by).isNotNull() & F.col("id").isNotNull() & F.col("v").isNotNull())
+    blocks = small(rows.groupBy(by).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_n")))
+    own = rows.join(blocks, by).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    left = own.select(by, "id", "v", F.col("_b").alias("_i"), F.explode(F.sequence("_b", F.col("_n") - 1)).alias("_j"))
+    again = (F.col(c).alias(c) for c in (by, "id", "v"))  # else both sides' columns are the same
+    right = own.select(*again, F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    key = [by, "_i", "_j"]
+    out = T.StructType([rows.schema[by], T.StructField("widest", T.DoubleType())])
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_widest_of_blocks(by), out)
+    return found.groupBy(by).agg(F.max("widest").alias("widest"))
+
+
 def centroid(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
     """(by..., centroid, members): the mean vector of each group, by position."""
     flat = df.select(*by, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))

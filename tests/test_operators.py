@@ -1,7 +1,9 @@
 """Small fixtures with known results for the engine's operators."""
 
 import math
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +109,44 @@ def test_consensus(spark):
     assert got["same"] == 1 and got["one"] == 1 and got["apart"] == pytest.approx(1 - (1 - 1 / math.sqrt(3)) ** 2)
 
 
+def belief_rows(kind):
+    """Groups of vectors with known odd pairs: narrow ones, some at 1, a zero vector, repeated ids."""
+    g = np.random.default_rng(4)
+    tight = [("tight", i, (g.normal(0, 0.2, 6) + [3, 0, 0, 0, 0, 0]).tolist()) for i in range(60)]
+    wide = [("wide", i, g.normal(size=6).tolist()) for i in range(40)]
+    zero = [("zero", 0, [0.0] * 6), ("zero", 1, [1.0] * 6), ("zero", 2, [1.0] * 6)]
+    same = [("id", 0, [1.0] * 6), ("id", 0, [1.0, 1.0, 1.0, 1.0, 1.0, -4.0]), ("id", 1, [1.0, 1.0, 1.0, 1.0, 1.0, 0.9])]
+    return [(a, str(b) if kind == "string" else b, c) for a, b, c in [*tight, *wide, *zero, *same]]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_widest_pairs_are_exact_in_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 7)
+    rows = belief_rows(kind)
+    df = spark.createDataFrame(rows, f"g string, vec_id {kind}, embedding array<double>")
+    got = {r.g: r for r in scoring.consensus(df, "g").collect()}
+    widest = {r.g: r.widest for r in vectors.widest(df.select("g", F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "g").collect()}
+
+    def far(x, y):
+        scale = np.linalg.norm(x) * np.linalg.norm(y)
+        return 1 - max(0.0, min(1.0, np.dot(x, y) / scale if scale else 0.0))
+
+    for name in {r[0] for r in rows}:
+        own = [(i, np.array(v)) for g, i, v in rows if g == name]
+        most = max(far(x, y) for i, x in own for j, y in own if i != j)
+        mid = np.mean([v for _, v in own], axis=0)
+        variance = np.mean([far(v, mid) ** 2 for _, v in own])
+        assert widest[name] == pytest.approx(most)
+        assert got[name].variance == pytest.approx(variance) and got[name].consensus == pytest.approx(1 - min(variance / most**2, 1))
+
+
+def test_consensus_of_a_group_compares_no_pairs_one_by_one(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id") / 40_000).alias("embedding"))
+    began = time.time()
+    r = scoring.consensus(df, "g").first()
+    assert r.n == 20_000 and r.consensus == pytest.approx(0.9, abs=0.1) and time.time() - began < 60
+
+
 HYBRID = [("doc1", "apple banana cherry", [1.0, 0.0, 0.0]), ("doc2", "nothing special here", [0.0, 1.0, 0.0]), ("doc3", "apple fruit salad", [0.5, 0.5, 0.0]), ("doc4", "special term zanzibar", [0.0, 0.0, 1.0])]
 
 
