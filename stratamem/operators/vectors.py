@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 
 from stratamem.catalog import small
 
-#: Rows of a block of the batch search; a block of 64-d doubles is 4 MB.
-BLOCK_ROWS = 8192
+#: Rows of a block of the batch search; a block of 64-d doubles is 16 MB. Each row is sent once for every block of the other side.
+BLOCK_ROWS = 32768
+#: Fewer rows than that aren't cut for the sake of parallelism, into at most so many blocks.
+LEAST_ROWS, LEAST_BLOCKS = 2048, 6
+#: Queries and rows of data that are compared at once: 4 MB of products.
+QUERY_ROWS, CHUNK_ROWS = 128, 4096
 
 
 def _sum(xs: Column) -> Column:
@@ -73,30 +77,68 @@ def vector_of(df: DataFrame, key: int | str, vector: str = "embedding", id_col:
     return list(row[0])
 
 
+def _numbers(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and vectors of a table (id, v) whose vectors are of one length, without those that have a component that's no number, and which rows these are."""
+    v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
+    good = np.flatnonzero(np.isfinite(v).all(1))
+    return np.asarray(t.column("id").combine_chunks())[good], v[good], good
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    scale = np.linalg.norm(v, axis=1)[:, None]
+    return np.divide(v, scale, out=np.zeros_like(v), where=scale > 0)
+
+
+def _blocks(rows: int) -> int:
+    return max(1, -(-rows // BLOCK_ROWS), min(LEAST_BLOCKS, rows // LEAST_ROWS))
+
+
 def _best(metric: str, k: int):
+    """The k nearest rows of right (id, v) for each of left (id, v, and kth if no farther ones are wanted), in chunks that stay in the processor's cache.
+
+    A first chunk gives each query a bound; of the others only what meets it is sorted.
+    """
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = []
-        for t in (left, right):
-            ids.append(np.asarray(t.column("id").combine_chunks()))
         parts: list[tuple] = []
         if left.num_rows and right.num_rows:
-            q, d = (np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
-            for a in range(0, len(q), 512):
-                x = q[a : a + 512]
-                if metric == "cosine":
-                    scale = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(d, axis=1)
-                    far = 1 - np.divide(x @ d.T, scale, out=np.zeros_like(scale), where=scale > 0)
-                else:
-                    far = np.maximum((x**2).sum(1)[:, None] + (d**2).sum(1) - 2 * x @ d.T, 0)
-                far = np.round(far, 6) + 0.0
-                far[ids[0][a : a + 512][:, None] == ids[1]] = np.inf
-                take = min(k, len(d)) - 1
-                limit = np.partition(far, take, 1)[:, take]
-                row, col = np.nonzero((far <= limit[:, None]) & np.isfinite(far))
-                order = np.lexsort((ids[1][col], far[row, col], row))
-                row, col = row[order], col[order]
+            bound = np.asarray(left.column("kth").combine_chunks()) if "kth" in left.column_names else np.full(left.num_rows, np.inf)
+            (q_id, q, own), (d_id, d, _) = _numbers(left), _numbers(right)
+            bound = bound[own]
+            order = np.argsort(d_id, kind="stable")
+            d_id, d = d_id[order], d[order]
+            # so many rows of data share an id at most; a query's own aren't its neighbours
+            same = int(np.diff(np.flatnonzero(np.r_[True, d_id[1:] != d_id[:-1], True])).max()) if len(d_id) else 0
+            if metric == "cosine":
+                q, d = _unit(q), _unit(d)
+                lift, reach = np.zeros(len(d)), 1 - bound
+                far_of = lambda s, i: 1 - s
+            else:
+                square = (q**2).sum(1)
+                lift, reach = (d**2).sum(1) / 2, (square - bound) / 2
+                far_of = lambda s, i: np.maximum(square[i] - 2 * s, 0)
+            take = k + same
+            for a in range(0, len(q) if len(d) else 0, QUERY_ROWS):
+                x, least = q[a : a + QUERY_ROWS], reach[a : a + QUERY_ROWS, None] - 2e-6
+                rows, cols, values = [], [], []
+                for b in range(0, len(d), CHUNK_ROWS):
+                    s = x @ d[b : b + CHUNK_ROWS].T
+                    s -= lift[b : b + CHUNK_ROWS]
+                    if b == 0 and s.shape[1] > take:
+                        least = np.maximum(least, np.partition(s, s.shape[1] - take, 1)[:, s.shape[1] - take, None] - 2e-6)
+                    at = np.flatnonzero(s >= least)
+                    row, col = np.divmod(at, s.shape[1])
+                    rows.append(row)
+                    cols.append(col + b)
+                    values.append(s.ravel()[at])
+                row, col = np.concatenate(rows), np.concatenate(cols)
+                far = np.round(far_of(np.concatenate(values), a + row), 6) + 0.0
+                other = q_id[a + row] != d_id[col]
+                row, col, far = row[other], col[other], far[other]
+                order = np.lexsort((col, far, row))
+                row, col, far = row[order], col[order], far[order]
                 keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                parts.append((ids[0][a + row[keep]], ids[1][col[keep]], far[row[keep], col[keep]]))
+                parts.append((q_id[a + row[keep]], d_id[col[keep]], far[keep]))
         kind = left.schema.field("id").type
         c = [np.concatenate([p[i] for p in parts]) if parts else [] for i in range(3)]
         return pa.table({"query_id": pa.array(c[0], kind), "neighbor_id": pa.array(c[1], kind), "distance": pa.array(c[2], pa.float64())})
@@ -112,9 +154,9 @@ def knn_batch(queries: DataFrame, data: DataFrame, k: int, metric: str = "cosine
     side is broadcast or collected. ``ann.IvfIndex`` prunes for larger tables.
     """
     kind = data.schema[id_col].dataType
-    plain = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    plain = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null")
     q, d = plain(queries), plain(data)
-    nq, nd = max(1, -(-q.count() // BLOCK_ROWS)), max(1, -(-d.count() // BLOCK_ROWS))
+    nq, nd = _blocks(q.count()), _blocks(d.count())
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", own(nq)).withColumn("db", all_(nd))
@@ -125,16 +167,6 @@ def knn_batch(queries: DataFrame, data: DataFrame, k: int, metric: str = "cosine
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "neighbor_id", "rank", "distance")
 
 
-def _finite(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of a table (id, v) whose vectors are of one length, without those that have a component that's no number."""
-    ids = np.asarray(t.column("id").combine_chunks())
-    v = np.asarray(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1)
-    good = np.isfinite(v).all(1)
-    ids, v = ids[good], v[good]
-    scale = np.linalg.norm(v, axis=1)[:, None]
-    return ids, np.divide(v, scale, out=np.zeros_like(v), where=scale > 0)
-
-
 def _widest_of_blocks(by: str):
     def parts(t: pa.Table) -> dict[int, pa.Table]:
         size = np.asarray(pc.list_value_length(t.column("v").combine_chunks()))
@@ -149,7 +181,8 @@ def _widest_of_blocks(by: str):
                     if (ids[0] != ids[0][0]).any() or (ids[1] != ids[0][0]).any():
                         most = 1.0
                     continue
-                (a, p), (b, q) = _finite(x), _finite(y)
+                (a, p, _), (b, q, _) = _numbers(x), _numbers(y)
+                p, q = _unit(p), _unit(q)
                 order = np.argsort(b, kind="stable")
                 b, q = b[order], q[order]
                 for i in range(0, len(a) if len(b) else 0, 256):

@@ -1,5 +1,7 @@
 """The engine's verbs end to end, and approximate search against exact."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,6 +49,26 @@ def test_ivf_with_the_query_parameters(spark):
     assert ann.recall(ann.IvfIndex(df, 16).search(df, 10, 8), vectors.knn_batch(df, df, 10)) >= 0.99
 
 
+def test_ivf_equals_brute_force_in_blocks_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 11)
+    x = np.random.default_rng(5).normal(size=(120, 8))
+    x[7], x[30], x[31], x[90:95] = 0, x[32], x[32], x[40]
+    df = spark.createDataFrame([(f"n{i}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], "vec_id string, embedding array<double>")
+    rows = lambda f: sorted((r.query_id, r["rank"], r.neighbor_id, r.distance) for r in f.collect())
+    got = rows(ann.IvfIndex(df, 6).search(df, 4, 1))
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    far = np.round(1 - unit @ unit.T, 6) + 0.0
+    want = sorted((f"n{i}", r, name, d) for i in range(120) for r, (d, name) in enumerate(sorted((far[i, j], f"n{j}") for j in range(120) if j != i)[:4], 1))
+    assert got == want == rows(vectors.knn_batch(df, df, 4))
+
+
+def test_ivf_of_many_vectors_is_quick(spark):
+    g = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(g.normal(size=(6000, 32)))], "vec_id int, embedding array<double>")
+    began = time.time()
+    assert ann.IvfIndex(df, 16).search(df, 10, 8).count() == 60_000 and time.time() - began < 60
+
+
 def test_exact_batch_search_has_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 20)
     g = np.random.default_rng(2)
