@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,30 +64,44 @@ def traverse(edges: DataFrame, start: str, path: str, nodes: DataFrame | None =
     return rows
 
 
-def reach(edges: DataFrame, roots: DataFrame, rels: list[str] | None = None, direction: str = "both", depth: int = 1, at: int | None = None, guide: tuple[DataFrame, list[float], float] | None = None) -> DataFrame:
+def reach(edges: DataFrame | None, roots: DataFrame, rels: list[str] | None = None, direction: str = "both", depth: int = 1, at: int | None = None, guide: tuple[DataFrame, list[float], float] | None = None, hubs: DataFrame | None = None) -> DataFrame:
     """(node, depth): nodes within ``depth`` hops of ``roots`` (a column node), each with its least depth.
 
     ``guide`` is (vectors(id, embedding), query vector, most distance):
     neighbours farther from the query, or without a vector, are not entered.
     Each hop joins the new nodes with the edges and drops those already seen.
+
+    ``hubs`` (node, hub) stands for edges between all nodes of a hub, in place
+    of ``edges`` or besides them: a hop goes through the new nodes' hubs, so
+    that these edges, as many as the square of a hub's nodes, are never made.
     """
     if direction not in ("in", "out", "both"):
         raise ValueError(f"unknown direction {direction!r}")
-    kept = _kept(edges, rels, at)
     ways = []
-    if direction in ("out", "both"):
-        ways.append(kept.select(F.col("source").alias("node"), F.col("target").alias("next")))
-    if direction in ("in", "both"):
-        ways.append(kept.select(F.col("target").alias("node"), F.col("source").alias("next")))
-    steps = ways[0] if len(ways) == 1 else ways[0].unionByName(ways[1])
+    if edges is not None:
+        kept = _kept(edges, rels, at)
+        if direction in ("out", "both"):
+            ways.append(kept.select(F.col("source").alias("node"), F.col("target").alias("next")))
+        if direction in ("in", "both"):
+            ways.append(kept.select(F.col("target").alias("node"), F.col("source").alias("next")))
+    elif hubs is None:
+        raise ValueError("there are neither edges nor hubs")
+
+    def step(front: DataFrame) -> DataFrame:
+        found = [way.join(front, "node").select(F.col("next").alias("node")) for way in ways]
+        if hubs is not None:
+            through = cut(hubs.join(front, "node").filter("hub is not null").select("hub").distinct())
+            found.append(hubs.join(small(through), "hub", "left_semi").filter("node is not null").select("node"))
+        return reduce(DataFrame.unionByName, found).distinct()
+
     seen = frontier = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, min(depth, MOST_DEPTH) + 1):
-        new = steps.join(small(frontier.select("node")), "node").select(F.col("next").alias("node")).distinct()
+        new = step(small(frontier.select("node"))).join(seen.select("node"), "node", "left_anti")
         if guide is not None:
             table, query, most = guide
             far = vectors.cosine_distance(F.col("embedding"), F.array(*map(F.lit, query)))
             new = new.join(table.select(F.col("id").alias("node"), "embedding"), "node").filter(far <= most).select("node")
-        frontier = cut(new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = cut(new.withColumn("depth", F.lit(d)))
         if not frontier.limit(1).count():
             break
         seen = cut(seen.unionByName(frontier)) if d < depth else seen.unionByName(frontier)

@@ -58,10 +58,9 @@ _NEAR0 = "near AS (SELECT CAST(vec_id AS VARCHAR) AS node FROM (SELECT vec_id, 1
 def graph_subgraph_guided(spark, d):
     """From vector 0 along same-label links, entering only vectors within distance 0.95 of it."""
     e = read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding", "label")
-    other = e.select(F.col("id").alias("target"), "label")
-    links = e.select(F.col("id").alias("source"), "label").join(other, "label").filter("source != target").select("source", "target", F.lit("same").alias("rel"), F.lit(0).cast("bigint").alias("created_at"), F.lit(0).cast("bigint").alias("deleted_at"))
     q = list(e.filter("id = '0'").first()["embedding"])
-    return graph.reach(links, spark.createDataFrame([("0",)], "node string"), ["same"], "out", 2, guide=(e, q, 0.95))
+    hubs = e.select(F.col("id").alias("node"), F.col("label").alias("hub"))
+    return graph.reach(None, spark.createDataFrame([("0",)], "node string"), depth=2, guide=(e, q, 0.95), hubs=hubs)
 
 
 @query("graph_find_path", f"WITH RECURSIVE {EDGES_SQL}, walk(node, path) AS (SELECT 'customer:1', ['customer:1'] UNION SELECT target, list_append(path, target) FROM walk JOIN edges ON source = node WHERE deleted_at = 0 AND rel IN ('placed', 'located_in', 'in') AND len(path) <= 3) SELECT node, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY node ORDER BY len(path), path) = 1")
