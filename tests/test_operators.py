@@ -212,6 +212,42 @@ def test_gaps(spark):
     assert (got.a, got.b) == ("A", "B") and got.score == pytest.approx(0.857, abs=1e-3)
 
 
+def test_gaps_between_hubs_without_their_links(spark):
+    rows = [(i, [1.0, i / 20_000], i % 2) for i in range(20_000)] + [(20_000, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")
+    some = df.filter("vec_id < 40 or label is null")
+    links = some.alias("x").join(some.alias("y"), F.expr("x.label = y.label and x.vec_id < y.vec_id")).select(F.col("x.vec_id").alias("source"), F.col("y.vec_id").alias("target"))
+    pairs = lambda f: {(r.a, r.b) for r in f.collect()}
+    want = {p for p in pairs(detectors.knowledge_gaps(some, links, 3, 0.5)) if 20_000 not in p}
+    assert want and pairs(detectors.knowledge_gaps(some, None, 3, 0.5, hub="label")) == want
+    began = time.time()
+    found = pairs(detectors.knowledge_gaps(df, None, 3, 0.5, hub="label"))
+    assert found and all(a % 2 != b % 2 for a, b in found) and time.time() - began < 60
+
+
+def test_belief_of_a_large_group(spark):
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("vec_id"), F.array(F.lit(1.0), F.col("id") / 40_000).alias("embedding"), F.lit(0.0).alias("created_at"), F.lit(0).alias("access_count"))
+    none = edge_frame(spark, [("x", "0", "invalidates")])
+    began = time.time()
+    r = scoring.belief(df, none, "g", 0.0).first()
+    assert (r.n, r.stability, r.friction) == (20_000, 1.0, 0.5) and time.time() - began < 60
+
+
+def test_walk_through_hubs_equals_their_links(spark):
+    hubs = spark.createDataFrame([(f"n{i}", i % 3) for i in range(12)] + [("n1", 0), ("alone", 9), ("none", None)], "node string, hub int")
+    links = hubs.alias("x").join(hubs.alias("y"), F.expr("x.hub = y.hub and x.node != y.node")).select(F.col("x.node").alias("source"), F.col("y.node").alias("target"), F.lit("same").alias("rel"), F.lit(0).alias("created_at"), F.lit(0).alias("deleted_at"))
+    near = hubs.select(F.col("node").alias("id"), F.when(F.col("node") == "n4", F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.1))).alias("embedding")).distinct()
+    rows = lambda f: sorted(map(tuple, f.collect()))
+    for root in ("n0", "n2", "alone", "none"):
+        start = spark.createDataFrame([(root,)], "node string")
+        for guide in (None, (near, [1.0, 0.0], 0.5)):
+            want = rows(graph.reach(links, start, ["same"], "out", 3, guide=guide))
+            assert rows(graph.reach(None, start, depth=3, guide=guide, hubs=hubs)) == want
+    many = spark.range(30_000).select(F.col("id").cast("string").alias("node"), F.lit(1).alias("hub"))
+    began = time.time()
+    assert graph.reach(None, spark.createDataFrame([("0",)], "node string"), depth=2, hubs=many).count() == 30_000 and time.time() - began < 60
+
+
 def test_clusters(spark):
     rows = [(i, [1.0, 0.0]) for i in range(5)] + [(9, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
