@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratamem.catalog import cut, small
+from stratamem.catalog import arrow_safe, cut, small
 from stratamem.functions import text
 from stratamem.operators import vectors
 
@@ -21,6 +23,25 @@ def chunks(docs: DataFrame, split: Column, id_col: str = "doc_id") -> DataFrame:
     return flat.withColumn("chunk_id", F.concat(F.col("doc").cast("string"), F.lit("_"), F.col("chunk_index").cast("string"))).select("doc", "chunk_index", "chunk_id", "content")
 
 
+def recursive(docs: DataFrame, size: int, overlap: int = 0, kind: str | list[str] = "recursive", id_col: str = "doc_id", column: str = "text") -> DataFrame:
+    """``chunks`` by ``text.split_recursively``, in batches bounded in bytes and a few texts at a time, so that a worker's memory doesn't depend on the table."""
+    arrow_safe(docs.sparkSession)
+    separators = text.SEPARATORS[kind] if isinstance(kind, str) else [*kind, ""]
+    overlap = overlap if 0 <= overlap < size else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                made = [None if t is None else text.split_recursively(t, size, overlap, separators) for t in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(made, pa.list_(pa.string()))], names=["doc", "c"])
+            pa.default_memory_pool().release_unused()
+
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(column).alias("t"))
+    split = rows.mapInArrow(run, T.StructType([rows.schema["doc"], T.StructField("c", T.ArrayType(T.StringType()))]))
+    return chunks(split, F.col("c"), "doc")
+
+
 def chunk_edges(pieces: DataFrame) -> DataFrame:
     """(source, target, rel): next and prev between neighbouring chunks, parent and child with their document.
 

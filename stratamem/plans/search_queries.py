@@ -223,7 +223,7 @@ def chunk_fixed(spark, d):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, d):
-    return rag.chunks(read(spark, d, "documents"), text.recursive_chunks(500, 50)(F.col("text")))
+    return rag.recursive(read(spark, d, "documents"), 500, 50)
 
 
 @query("stem_english")
