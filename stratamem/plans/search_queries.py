@@ -175,7 +175,7 @@ def bm25_batch(spark, d):
 @query("bm25_stemmed")
 def bm25_stemmed(spark, d):
     docs = read(spark, d, "documents").filter("lang = 'en'")
-    return search.top_k(search.bm25(docs, _benchmark(spark, d), language="english"), 5, "query_id")
+    return search.top_k(search.bm25(docs, _benchmark(spark, d), language="english", k=5), 5, "query_id")
 
 
 @query("rag_rank_score", f"WITH {_BM25}, r AS (SELECT query_id, id, round(score, 6) AS s FROM scored) SELECT query_id, id, rank, round(CAST(greatest(0.1, 1 - 0.1 * rank) AS DOUBLE), 6) AS score FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) - 1 AS INTEGER) AS rank FROM r) WHERE rank < 5")

@@ -162,6 +162,37 @@ def test_hybrid(spark):
     assert ids([1.0, 0.0, 0.0], "apple", 4, allowed=allowed) == ["doc3"]
 
 
+@pytest.mark.parametrize("language", [None, "english"])
+def test_bm25_in_batches_equals_joined_postings(spark, monkeypatch, language):
+    g = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in ("run", "jump", "note") for b in ("ning", "s", "ed", "er", "ing")] + ["the", "of", "Été", "a_1"]
+    texts = [" ".join(g.choice(vocabulary, n)) for n in g.integers(0, 40, 150)]
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate([*texts, *texts[:20]])), (900, None), (901, "")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([("x", "Running the notes notes"), ("y", "été a_1 jumper"), ("z", "absent"), ("x", "runs")], "query_id string, text string")
+    rows = lambda f: sorted((r.query_id, r["rank"], r.id, round(r.score, 5)) for r in f.collect())
+    everything = lambda f: {(r.query_id, r.id): pytest.approx(r.score) for r in f.collect()}
+    top, full = search.bm25(docs, asked, language=language, k=4), search.bm25(docs, asked, language=language)
+    quick, scores = rows(search.top_k(top, 4, "query_id")), everything(full)
+    assert top.count() < full.count()  # batches leave out what can't be among the best
+    monkeypatch.setattr(search, "MOST_WEIGHTS", 0)
+    joined = search.bm25(docs, asked, language=language)
+    assert scores == {(r.query_id, r.id): r.score for r in joined.collect()} and quick == rows(search.top_k(joined, 4, "query_id"))
+
+
+def test_bm25_of_documents_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "fish swim"), (1, "fish fish fly"), (2, "birds fly")], "doc_id int, text string")
+    asked = spark.createDataFrame([(7, "fish")], "query_id int, text string")
+    assert [(r.query_id, r.id) for r in search.bm25(docs, asked, k=2).collect()] == [(7, 1)]
+
+
+def test_recursive_chunks_come_in_small_batches(spark):
+    texts = [("word " * 30 * (i % 5)).strip() for i in range(200)]
+    df = spark.createDataFrame([*enumerate(texts), (900, None)], "doc_id int, text string")
+    want = sorted((i, n, f"{i}_{n}", p) for i, t in enumerate(texts) for n, p in enumerate(text.split_recursively(t, 100, 10, text.SEPARATORS["recursive"])))
+    assert sorted(map(tuple, rag.recursive(df, 100, 10).collect())) == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
 def test_stems():
     pairs = "caresses:caress ponies:poni ties:ti feed:feed agreed:agre motoring:motor sing:sing hopping:hop falling:fall filing:file happy:happi sky:ski relational:relat rational:ration digitizer:digit"
     for word, stem in (p.split(":") for p in pairs.split()):
