@@ -180,7 +180,7 @@ def bm25_stemmed(spark, d):
 
 @query("rag_rank_score", f"WITH {_BM25}, r AS (SELECT query_id, id, round(score, 6) AS s FROM scored) SELECT query_id, id, rank, round(CAST(greatest(0.1, 1 - 0.1 * rank) AS DOUBLE), 6) AS score FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) - 1 AS INTEGER) AS rank FROM r) WHERE rank < 5")
 def rag_rank_score(spark, d):
-    top = search.top_k(search.bm25(read(spark, d, "documents"), _benchmark(spark, d)), 5, "query_id")
+    top = search.top_k(search.bm25(read(spark, d, "documents"), _benchmark(spark, d), k=5), 5, "query_id")
     return rag.ranked_sources(top, [F.desc("score"), F.col("id")], "query_id").select("query_id", "id", "rank", "score")
 
 
