@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamem.catalog import NOW, read, seconds
+from stratamem.catalog import NOW, cut, read, seconds, small
 from stratamem.functions import text
 from stratamem.functions.words import ENGLISH_SAFE, NEGATIVE, POSITIVE, PROTECTED
 from stratamem.operators import filters, memory, rag, scoring, search, vectors
@@ -310,6 +310,7 @@ def rag_chunk_chain(spark, d):
 def rag_context_budget(spark, d):
     """Prompts of at most 4096 tokens from the documents that rank best for each benchmark passage."""
     docs = read(spark, d, "documents")
-    top = search.top_k(search.bm25(docs, _benchmark(spark, d)), 5, "query_id").select("query_id", F.col("id").alias("doc"), "score")
-    pieces = rag.chunks(docs, text.fixed_chunks("text", 1000)).withColumn("tokens", text.token_estimate("content")).select("doc", "chunk_index", "tokens")
+    top = cut(search.top_k(search.bm25(docs, _benchmark(spark, d), k=5), 5, "query_id").select("query_id", F.col("id").alias("doc"), "score"))
+    found = docs.join(small(top.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    pieces = rag.chunks(found, text.fixed_chunks("text", 1000)).withColumn("tokens", text.token_estimate("content")).select("doc", "chunk_index", "tokens")
     return rag.context(pieces.join(top, "doc"))
