@@ -169,7 +169,7 @@ def bm25_search(spark, d):
 
 @query("bm25_batch", f"WITH {_BM25} SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM scored) WHERE rank <= 5")
 def bm25_batch(spark, d):
-    return search.top_k(search.bm25(read(spark, d, "documents"), _benchmark(spark, d)), 5, "query_id")
+    return search.top_k(search.bm25(read(spark, d, "documents"), _benchmark(spark, d), k=5), 5, "query_id")
 
 
 @query("bm25_stemmed")
