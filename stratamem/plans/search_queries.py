@@ -164,7 +164,7 @@ def _benchmark(spark, d) -> DataFrame:
 def bm25_search(spark, d):
     """The ten best documents for the first benchmark passage."""
     asked = _benchmark(spark, d).orderBy("query_id").limit(1)
-    return search.top_k(search.bm25(read(spark, d, "documents"), asked), 10).select("id", "score")
+    return search.top_k(search.bm25(read(spark, d, "documents"), asked, k=10), 10).select("id", "score")
 
 
 @query("bm25_batch", f"WITH {_BM25} SELECT * FROM (SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS INTEGER) AS rank FROM scored) WHERE rank <= 5")
