@@ -231,7 +231,8 @@ def hybrid(nodes: DataFrame, query: list[float] | None, words: str | None, k: in
     found = None
     if words:
         asked = nodes.sparkSession.createDataFrame([(0, words)], "query_id int, text string")
-        found = bm25(nodes, asked, "id", column, language).join(kept.select("id"), "id", "left_semi").select("id", "score")
+        found = bm25(nodes, asked, "id", column, language).select("id", "score")
+        found = found if allowed is None else found.join(kept.select("id"), "id", "left_semi")
     if query is None or not any(query):
         if found is None:
             raise ValueError("a search needs a vector or words")
